@@ -20,6 +20,15 @@ def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
     )
 
 
+def rounded(col: Column, digits: int) -> Column:
+    """Half-up rounding after snapping to five more digits.
+
+    Sums of doubles differ in their last bits between partitionings; without the snap a value on a
+    rounding tie would flip with them.
+    """
+    return F.round(F.round(col, digits + 5), digits)
+
+
 def n_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 

@@ -144,7 +144,7 @@ def _(t: Tables):
 
 
 @query("E3_payment_context", _ev(
-    "SELECT case_id, event_id, amount_inr, b AS baseline_amount_inr, CAST(round(CAST(amount_inr / greatest(b, 1e0) AS DECIMAL(30, 12)), 3) AS DOUBLE) AS amount_to_baseline_ratio, "
+    "SELECT case_id, event_id, amount_inr, b AS baseline_amount_inr, CAST(round(CAST(CAST(amount_inr / greatest(b, 1e0) AS VARCHAR) AS DECIMAL(36, 18)), 3) AS DOUBLE) AS amount_to_baseline_ratio, "
     "CAST(beneficiary_age_days AS DOUBLE) AS beneficiary_age_days, coalesce(payment_count, 1) AS payment_count FROM ("
     "SELECT *, coalesce(sender_baseline_amount_inr, CASE WHEN amount_inr = 0 THEN 1e0 ELSE amount_inr END) AS b FROM evidence_events WHERE amount_inr IS NOT NULL) q"))
 def _(t: Tables):

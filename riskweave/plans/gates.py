@@ -11,6 +11,7 @@ from riskweave.operators import quality as q
 from riskweave.operators import splits as s
 from riskweave.plans.registry import Tables, query
 from riskweave.plans.views import with_views
+from riskweave.session import pin
 
 # Pay events in the shape of the population table: split by sender, vectors by family and rail.
 _POP = (
@@ -24,8 +25,10 @@ _POP = (
 _VECTOR_IDS = "SELECT concat(f, '-', r) AS vector_id, f AS family FROM (SELECT unnest(['FAM-A', 'FAM-B', 'FAM-C', 'FAM-D']) AS f) a, (SELECT unnest(['UPI', 'CARD', 'WALLET']) AS r) b"
 
 
-def population(t: Tables):
-    return t.spark.sql(_POP, case_events=t("case_events"))
+def population(t: Tables, written: bool = False):
+    """The population table; ``written`` stores it first, for queries that read it many times."""
+    pop = t.spark.sql(_POP, case_events=t("case_events"))
+    return pin(pop, "population") if written else pop
 
 
 def catalogue(t: Tables):
@@ -204,7 +207,7 @@ _CHECK_SQL = (
 
 @query("X3_checks_table", _pop("SELECT name, o = 0 AS passed, CAST(o AS VARCHAR) AS observed, expected, severity FROM chk", chk=_CHECK_SQL))
 def _(t: Tables):
-    return q.population_checks(population(t), catalogue(t), "vector_id", holdout(t), "vector_id")
+    return q.population_checks(population(t, written=True), catalogue(t), "vector_id", holdout(t), "vector_id")
 
 
 @query("Q18_quality_score", _pop(
@@ -212,7 +215,7 @@ def _(t: Tables):
     "count(*) FILTER (WHERE o <> 0 AND severity = 'critical') AS critical_failure_count, CASE WHEN bool_and(o = 0) THEN 'passed' ELSE 'failed' END AS status FROM ("
     "SELECT *, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM chk) c", chk=_CHECK_SQL))
 def _(t: Tables):
-    return q.quality_score(q.population_checks(population(t), catalogue(t), "vector_id", holdout(t), "vector_id"))
+    return q.quality_score(q.population_checks(population(t, written=True), catalogue(t), "vector_id", holdout(t), "vector_id"))
 
 
 @query("Q12_card_checks", with_views(
@@ -328,7 +331,7 @@ def _(t: Tables):
     am="SELECT round(greatest(0e0, 1 - abs(ln(greatest(median(amount_inr / sender_baseline_amount_inr), 1e-2))) / ln(3e0)), 6) AS amount_calibration FROM ordinary WHERE amount_inr > 0",
     sp=_SPEAR, ec="SELECT round(greatest(0e0, 1 - abs(avg(CAST(CAST(event_id % 10 = 0 AS INT) AS DOUBLE)) - 12e-2) / 12e-2), 6) AS c FROM ordinary", cv=_COV, gr=_GRAD))
 def _(t: Tables):
-    pop = population(t)
+    pop = population(t, written=True)
     ordinary = pop.where(F.col("case_role") == "ordinary_legitimate").withColumn("r", F.col("amount_inr") / F.col("sender_baseline_amount_inr"))
     coverage = fd.catalog_coverage(pop, catalogue(t), "attack_vector_id", "attack_family", "vector_id", "family")
     valid = q.sequence_contiguity(pop).agg(F.min(F.col("contiguous").cast("int")).alias("v"))
