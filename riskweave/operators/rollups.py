@@ -57,7 +57,7 @@ def campaigns(events: DataFrame) -> DataFrame:
     levels = F.array(F.lit("Easy"), F.lit("Medium"), F.lit("Hard"))
     return events.where("label_fraud").groupBy("attack_family", "scenario_id").agg(
         F.count(F.lit(1)).alias("events"), rounded(F.avg("amount_inr"), 2).alias("average_amount"), F.min("event_ts").alias("start")
-    ).withColumn("difficulty", F.element_at(levels, (F.pmod(number - 1, F.lit(3)) + 1).cast("int")))
+    ).withColumn("difficulty", F.when(number.isNotNull(), F.element_at(levels, (F.pmod(number - 1, F.lit(3)) + 1).cast("int"))))
 
 
 def largest_campaign_network(events: DataFrame, family: str, order: Sequence[str], size: int = 100) -> DataFrame:
