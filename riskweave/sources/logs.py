@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from riskweave.session import pin
+
 
 def flatten_events(
     events: DataFrame, truth: DataFrame, source: str | None = None, attribute_schema: str | None = None,
@@ -45,13 +47,11 @@ def log_round(
 def append_log(rows: DataFrame, path: str) -> int:
     """S3: append rows as JSON lines and return how many were written.
 
-    The count is observed while writing, so the input is computed once.
+    The rows are stored once before, so the count and the log come from the same computation.
     """
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").json(path)
-    return int(seen.get["rows"])
+    stored = pin(rows, "log_rows")
+    stored.write.mode("append").json(path)
+    return stored.count()
 
 
 def load_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
