@@ -75,7 +75,10 @@ def entity_history(
     """Per (event, kind): is this the account's first use of the entity, and how many accounts used it before."""
     rows = _entity_rows(df, kinds, account, order, row_id)
     hot = find_hot(rows, ["kind", "entity"])
-    flagged = first_occurrence(rows, ["kind", "entity", account], order, ["kind", row_id], "first_use")
+    if hot.frame is None:
+        # Rows placed by (kind, entity) serve the per-account window as well: one exchange for both.
+        rows = rows.repartition("kind", "entity")
+    flagged = first_occurrence(rows, ["kind", "entity", account], order, ["kind", row_id], "first_use", within=hot)
     return running(
         flagged, ["kind", "entity"], order,
         {"prior_accounts": Running("sum", F.col("first_use").cast("long"), current=False)}, hot=hot,
@@ -219,27 +222,42 @@ def _trailing_hour_segmented(heavy: DataFrame, key: str, tiebreak: str, row_id:
 
 def distinct_prior(
     df: DataFrame, key: str, fields: Mapping[str, str], order: Sequence[str], row_id: str,
-    hot: HotGroups | None = None,
+    hot: HotGroups | None = None, placed: bool = False,
 ) -> DataFrame:
     """Distinct non-null values of each field among strictly earlier events of the key.
 
-    ``fields`` maps output names to columns. Only rows that carry a value are looked at for first
-    uses; the counts of all fields then run in one ordered pass per key.
+    ``fields`` maps output names to columns. Ordinary keys are placed once and flag first uses with
+    windows on that placement (``placed`` says the rows already are). For large keys, first uses come
+    from an aggregation over the rows that carry a value, joined back by row id, and the counts run
+    over segments.
     """
+    hot = hot or find_hot(df, [key])
+    cold, heavy = split_hot(df, hot)
+    sums = {name: Running("sum", F.col(f"_new_{name}"), current=False) for name in fields}
+    flagged = cold if placed else cold.repartition(key)
+    for name, col in fields.items():
+        first = F.row_number().over(Window.partitionBy(key, col).orderBy(*order)) == 1
+        flagged = flagged.withColumn(f"_new_{name}", (F.col(col).isNotNull() & first).cast("long"))
+    nothing_hot = HotGroups((key,), 0, None)
+    walked = running(flagged, [key], order, sums, hot=nothing_hot)
+    if heavy is not None:
+        marked = _first_uses(heavy, key, fields, order, row_id)
+        walked = walked.unionByName(running(marked, [key], order, sums, hot=hot))
+    return walked.select(*df.columns, *[F.coalesce(name, F.lit(0)).alias(name) for name in fields])
+
+
+def _first_uses(heavy: DataFrame, key: str, fields: Mapping[str, str], order: Sequence[str], row_id: str) -> DataFrame:
     pairs = [F.struct(F.lit(name).alias("_field"), F.col(col).cast("string").alias("_value")) for name, col in fields.items()]
     extra = list(dict.fromkeys([key, row_id, *order]))
-    long = df.select(*extra, F.explode(F.array(*pairs)).alias("_p")).select(*extra, "_p._field", "_p._value")
+    long = heavy.select(*extra, F.explode(F.array(*pairs)).alias("_p")).select(*extra, "_p._field", "_p._value")
     firsts = first_occurrence(
         long.where(F.col("_value").isNotNull()), [key, "_field", "_value"], order, ["_field", row_id], "_new"
     )
     flags = firsts.where("_new").groupBy(F.col(row_id).alias("_row")).agg(*[
         F.max((F.col("_field") == name).cast("long")).alias(f"_new_{name}") for name in fields
     ])
-    joined = df.join(flags, F.col(row_id) == F.col("_row"), "left").drop("_row")
-    walked = running(joined, [key], order, {
-        name: Running("sum", F.coalesce(F.col(f"_new_{name}"), F.lit(0)), current=False) for name in fields
-    }, hot=hot)
-    return walked.select(*df.columns, *[F.coalesce(name, F.lit(0)).alias(name) for name in fields])
+    joined = heavy.join(flags, F.col(row_id) == F.col("_row"), "left").drop("_row")
+    return joined.fillna(0, [f"_new_{name}" for name in fields])
 
 
 def cumulative_session_risk(
@@ -278,7 +296,7 @@ def chain_feature_frame(df: DataFrame, ts: str = "occurred_at", keep: Sequence[s
         "prior_event_count": Running("count", current=False), "_prev": Running("lag", F.col("_ts")),
     }, hot=hot)
     hourly = trailing_hour(walked, "_chain", "_ts", "_seq", "event_id", "_amount", hot=hot)
-    full = distinct_prior(hourly, "_chain", DISTINCT_FIELDS, order, "event_id", hot=hot)
+    full = distinct_prior(hourly, "_chain", DISTINCT_FIELDS, order, "event_id", hot=hot, placed=True)
     hour, weekday = p.calendar_parts(F.col("_ts"))
     full = full.withColumns({
         "seconds_since_prev_event": gap_seconds(F.col("_prev"), F.col("_ts")),

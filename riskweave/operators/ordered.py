@@ -214,10 +214,16 @@ def group_rank(df: DataFrame, keys: Sequence[str], order, name: str = "rank") ->
 
 
 def first_occurrence(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], row_id: Sequence[str], name: str
+    df: DataFrame, group: Sequence[str], order: Sequence[str], row_id: Sequence[str], name: str,
+    within: HotGroups | None = None,
 ) -> DataFrame:
-    """Flag the earliest row of each group. Hot groups use an aggregate and a join on the row id."""
-    hot = find_hot(df, group)
+    """Flag the earliest row of each group. Hot groups use an aggregate and a join on the row id.
+
+    ``within`` are counted groups of a prefix of the group columns: when none of those is hot, no
+    finer group can be, and nothing is counted again.
+    """
+    none_hot = within is not None and within.frame is None
+    hot = HotGroups(tuple(group), 0, None) if none_hot else find_hot(df, group)
     cold, heavy = split_hot(df, hot)
     window = Window.partitionBy(*group).orderBy(*_sort(order))
     result = cold.withColumn(name, F.row_number().over(window) == 1)

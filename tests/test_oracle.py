@@ -24,3 +24,11 @@ def test_query_matches_oracle(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+HOT = ("W4_prior_distinct_accounts", "W9_distinct_prior", "W7_W8_trailing_hour", "E10_E11_case_guard", "G3_deterministic_lane", "F10_amount_shape_profile")
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_segmented_paths_match_oracle(spark, small_groups, name):
+    assert check.compare(spark, check.oracle_connection(SF_DIR), name, SF_DIR) is None
