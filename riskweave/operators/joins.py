@@ -23,16 +23,18 @@ def vectors_with_sources(
 ) -> DataFrame:
     """Source details of each vector in the order of its ``source_ids``, and the holdout flag.
 
-    The list rebuilt per vector is as long as the vector's own ``source_ids`` array.
+    Lists are rebuilt per distinct (vector, source_ids) pair, so a list is never longer than the array
+    it comes from, however many copies of a vector the table holds.
     """
-    listed = vectors.select(vector_id, F.posexplode("source_ids").alias("pos", "_sid"))
+    pairs = vectors.select(F.col(vector_id).alias("_v"), F.col("source_ids").alias("_ids")).distinct()
+    listed = pairs.select("_v", "_ids", F.posexplode("_ids").alias("pos", "_sid"))
     details = sources.select(F.col(source_id).alias("_sid"), detail.alias("_detail"))
-    ordered = listed.join(details, "_sid").groupBy(F.col(vector_id).alias("_v")).agg(
+    ordered = listed.join(details, "_sid").groupBy("_v", "_ids").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "_detail"))), lambda x: x["_detail"]).alias("sources")
     )
     held = holdout.select(F.col(holdout.columns[0]).alias("_hv")).distinct().withColumn("_held", F.lit(True))
     return (
-        vectors.join(ordered, F.col(vector_id) == F.col("_v"), "left")
+        vectors.join(ordered, (F.col(vector_id) == F.col("_v")) & F.col("source_ids").eqNullSafe(F.col("_ids")), "left")
         .join(held, F.col(vector_id) == F.col("_hv"), "left")
         .select(*vectors.columns, "sources", F.coalesce("_held", F.lit(False)).alias("novel_holdout"))
     )

@@ -79,8 +79,12 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | Non
 
 def _windowed(aggs: Mapping[str, Running], window) -> list[Column]:
     out = []
+    frames = {
+        True: window.rowsBetween(Window.unboundedPreceding, Window.currentRow),
+        False: window.rowsBetween(Window.unboundedPreceding, -1),
+    }
     for name, agg in aggs.items():
-        frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow if agg.current else -1)
+        frame = frames[agg.current]
         if agg.how == "count":
             number = F.row_number().over(window).cast("long")
             col = number if agg.current else number - 1

@@ -280,12 +280,12 @@ def _(t: Tables):
 @query(
     "J2_events_with_decisions",
     with_views(
-        "SELECT e.event_id, e.case_id, e.sequence, event_type, lifecycle_phase, action FROM case_events e LEFT JOIN (SELECT * FROM decisions WHERE event_id % 4 <> 0) d "
+        "SELECT e.event_id, e.case_id, e.sequence, event_type, lifecycle_phase, action FROM case_events e LEFT JOIN (SELECT * FROM decisions WHERE action <> 'monitor') d "
         "ON d.event_id = e.event_id", "case_events", "decisions"),
 )
 def _(t: Tables):
     events = t("case_events").select("event_id", "case_id", "sequence", "event_type", "lifecycle_phase")
-    return j.events_with_decisions(events, t("decisions").where(F.col("event_id") % 4 != 0))
+    return j.events_with_decisions(events, t("decisions").where(F.col("action") != "monitor"))
 
 
 @query(

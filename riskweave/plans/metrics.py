@@ -395,29 +395,28 @@ def _(t: Tables):
     with_views(
         "SELECT event_id, attack_family, sequence FROM (SELECT *, row_number() OVER (PARTITION BY attack_family ORDER BY src, event_id) AS r FROM ("
         "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY src, event_id) AS d FROM ("
-        "SELECT 0 AS src, * FROM rows WHERE label = 1 AND event_id % 3 = 0 UNION ALL SELECT 1 AS src, * FROM rows WHERE label = 1 AND event_id % 2 = 0) u) v "
+        "SELECT 0 AS src, * FROM rows WHERE label = 1 AND alert UNION ALL SELECT 1 AS src, * FROM rows WHERE label = 1) u) v "
         "WHERE d = 1 AND attack_family IS NOT NULL) w WHERE r <= 20", "predictions", rows=_TRAIN_ROWS),
 )
 def _(t: Tables):
     rows = train_rows(t)
-    old = rows.where((F.col("label") == 1) & (F.col("event_id") % 3 == 0))
-    new = rows.where(F.col("event_id") % 2 == 0)
-    return s.replay_buffer(old, new, "event_id", cap=20).select("event_id", "attack_family", "sequence")
+    old = rows.where((F.col("label") == 1) & F.col("alert"))
+    return s.replay_buffer(old, rows, "event_id", cap=20).select("event_id", "attack_family", "sequence")
 
 
 @query(
     "L5_assemble_training",
     with_views(
         "SELECT event_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY src) AS d FROM ("
-        "SELECT 0 AS src, event_id, 'baseline' AS origin FROM pay_events WHERE event_id % 2 = 0 UNION ALL "
-        "SELECT 1, event_id, 'log' FROM pay_events WHERE event_id % 3 = 0 UNION ALL SELECT 2, event_id, 'replay' FROM pay_events WHERE event_id % 5 = 0) u) v WHERE d = 1", "pay_events"),
+        "SELECT 0 AS src, event_id, 'baseline' AS origin FROM pay_events WHERE event_type IN ('click', 'purchase') UNION ALL "
+        "SELECT 1, event_id, 'log' FROM pay_events WHERE lifecycle_phase <> 'pre_transaction' UNION ALL SELECT 2, event_id, 'replay' FROM pay_events WHERE label_fraud) u) v WHERE d = 1", "pay_events"),
 )
 def _(t: Tables):
-    ids = t("pay_events").select("event_id")
-    parts = [
-        ids.where(F.col("event_id") % n == 0).withColumn("origin", F.lit(name))
-        for n, name in ((2, "baseline"), (3, "log"), (5, "replay"))
-    ]
+    sources = {
+        "baseline": F.col("event_type").isin("click", "purchase"), "log": F.col("lifecycle_phase") != "pre_transaction",
+        "replay": F.col("label_fraud"),
+    }
+    parts = [t("pay_events").where(cond).select("event_id", F.lit(name).alias("origin")) for name, cond in sources.items()]
     return s.assemble_training(*parts)
 
 
@@ -438,3 +437,18 @@ def _(t: Tables):
 @query("L7_sample_to_prevalence")
 def _(t: Tables):
     return s.sample_to_prevalence(t("card_tx").select("row_id", "class"), "class", "row_id", 0.05)
+
+
+@query("L3_fold_balance", with_views(
+    "SELECT stratum, CAST(f AS INT) AS fold, n // 3 + CASE WHEN f < n % 3 THEN 1 ELSE 0 END AS groups FROM (SELECT stratum, count(*) AS n FROM ("
+    "SELECT case_id, coalesce(max(attack_family), 'none') AS stratum FROM case_events GROUP BY 1) g GROUP BY 1) s, (SELECT unnest([0, 1, 2]) AS f) x", "case_events"))
+def _(t: Tables):
+    folds = s.group_folds(t("case_events"), "case_id", "attack_family", s.fold_count(0.3))
+    return folds.groupBy("stratum", "fold").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query("L7_sample_counts", with_views(
+    "SELECT p AS positives, least(n - p, CAST(floor(p / 5e-2) AS BIGINT) - p) AS negatives FROM (SELECT count(*) AS n, count(*) FILTER (WHERE class = 1) AS p FROM card_tx) c", "card_tx"))
+def _(t: Tables):
+    kept = s.sample_to_prevalence(t("card_tx").select("row_id", "class"), "class", "row_id", 0.05)
+    return kept.agg(F.count_if(F.col("class") == 1).alias("positives"), F.count_if(F.col("class") == 0).alias("negatives"))

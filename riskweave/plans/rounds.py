@@ -344,9 +344,9 @@ def _(t: Tables):
 @query("R3_risk_histogram", with_views(
     "SELECT b AS bucket, count(p.event_id) FILTER (WHERE NOT label_fraud) AS legitimate, count(p.event_id) FILTER (WHERE label_fraud) AS fraud FROM ("
     "SELECT unnest(['0-20', '20-40', '40-60', '60-80', '80-100']) AS b, unnest([0e0, 2e-1, 4e-1, 6e-1, 8e-1]) AS lo, unnest([2e-1, 4e-1, 6e-1, 8e-1, 1000001e-6]) AS hi) d "
-    "LEFT JOIN (SELECT * FROM predictions WHERE risk_score < 2e-1 OR risk_score >= 4e-1) p ON risk_score >= lo AND risk_score < hi GROUP BY 1", "predictions"))
+    "LEFT JOIN predictions p ON risk_score >= lo AND risk_score < hi GROUP BY 1", "predictions"))
 def _(t: Tables):
-    return r.risk_histogram(t("predictions").where((F.col("risk_score") < 0.2) | (F.col("risk_score") >= 0.4)))
+    return r.risk_histogram(t("predictions"))
 
 
 @query("R4_campaigns", _scen(

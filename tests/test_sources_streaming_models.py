@@ -84,3 +84,34 @@ def test_model_round_trip_and_feature_check(spark, tmp_path):
 def test_detector_allowlist_is_clean():
     assert not set(d.CHAIN_FEATURES) & d.CHAIN_FORBIDDEN
     assert not set(d.BENCHMARK_NUMERIC_FEATURES + d.BENCHMARK_CATEGORICAL_FEATURES) & d.BENCHMARK_FORBIDDEN
+
+
+def test_recorded_runs_are_read_backfilled_and_catalogued(spark, tmp_path):
+    import json
+
+    from riskweave.operators import rollups as r
+
+    def run(name, rounds):
+        (tmp_path / name).write_text(json.dumps({"rounds": rounds}, indent=1))
+
+    one = {"red": {"scenario": {"attack_family": "ATO", "difficulty": "easy"}}, "referee": {"total_value_at_risk_inr": 5.0, "value_prevented_inr": 2.0}}
+    run("a.json", [one])
+    run("b.json", [{"red": {"scenario": {"attack_family": "MULE", "difficulty": "hard"}}, "referee": {"loss_avoided_inr": 1.0}}, one])
+    run("c.json", [])
+    (tmp_path / "d.json").write_text("not json")
+    schema = ("rounds ARRAY<STRUCT<red: STRUCT<scenario: STRUCT<attack_family: STRING, difficulty: STRING>>, referee: STRUCT<total_value_at_risk_inr: DOUBLE, "
+              "value_prevented_inr: DOUBLE, no_defense_loss_inr: DOUBLE, loss_avoided_inr: DOUBLE>>>")
+    runs = readers.load_runs(spark, str(tmp_path), schema)
+    got = sorted(tuple(x) for x in r.run_catalog(r.rounds_of_runs(runs)).collect())
+    assert got == [("ATO", "easy", i) for i in range(1, 6)] + [("MULE", "hard", 1), ("MULE", "hard", 2)]
+    filled = {x["run_id"]: x["rounds"][0]["referee"] for x in r.backfill_run_fields(runs).collect()}
+    assert (filled["a.json"]["no_defense_loss_inr"], filled["a.json"]["loss_avoided_inr"]) == (5.0, 2.0)
+    assert (filled["b.json"]["no_defense_loss_inr"], filled["b.json"]["loss_avoided_inr"]) == (0.0, 1.0)
+
+
+def test_histogram_keeps_empty_bins(spark):
+    from riskweave.operators import rollups as r
+
+    df = spark.createDataFrame([(0.1, True), (1.0, False)], "risk_score double, label_fraud boolean")
+    assert {x["bucket"]: (x["legitimate"], x["fraud"]) for x in r.risk_histogram(df).collect()} == {
+        "0-20": (0, 1), "20-40": (0, 0), "40-60": (0, 0), "60-80": (0, 0), "80-100": (1, 0)}
