@@ -103,10 +103,15 @@ ACCOUNT_COUNT_NAMES = {
 
 def entity_features(
     df: DataFrame, account: str = "sender_account_id", order: Sequence[str] = ("event_ts", "event_id"),
-    row_id: str = "event_id", prior_count: str = "prior_event_count",
+    row_id: str = "event_id", prior_count: str = "prior_event_count", source: DataFrame | None = None,
 ) -> DataFrame:
-    """Novelty flags (only once the account has history) and prior distinct accounts."""
-    history = _pivot_entities(entity_history(df, ENTITY_KINDS, account, list(order), row_id), list(ENTITY_KINDS), row_id)
+    """Novelty flags (only once the account has history) and prior distinct accounts.
+
+    ``source`` holds the same events before other features were added; the entity pass then reads only
+    its id columns.
+    """
+    rows = source if source is not None else df
+    history = _pivot_entities(entity_history(rows, ENTITY_KINDS, account, list(order), row_id), list(ENTITY_KINDS), row_id)
     joined = df.join(history, F.col(row_id) == F.col("_row"))
     seasoned = F.col(prior_count) > 0
     new = [(seasoned & (F.col(f"_first_{k}") == 1)).cast("int").alias(f"is_new_{k}") for k in ENTITY_KINDS]
@@ -122,7 +127,7 @@ def point_in_time_features(
     _require(df, d.HISTORY_REQUIRED)
     require_clean(d.HISTORY_NUMERIC_FEATURES + d.HISTORY_CATEGORICAL_FEATURES, d.HISTORY_FORBIDDEN)
     base = amount_to_prior_mean(df, "sender_account_id", order, fallback=fallback)
-    full = entity_features(base, "sender_account_id", order, row_id).withColumnRenamed(
+    full = entity_features(base, "sender_account_id", order, row_id, source=df).withColumnRenamed(
         "prior_event_count", "sender_prior_event_count"
     )
     hour_sin, hour_cos = p.cyclic_hour(p.hour_of_timestamp(F.col("event_ts")))

@@ -34,7 +34,7 @@ def _(t: Tables):
 
 
 @query("S2_load_events", with_views(
-    "SELECT CAST(event_id AS VARCHAR) AS event_id, event_ts::TIMESTAMPTZ AS event_ts, amount_inr, label_fraud, attack_family FROM pay_events", "pay_events"))
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, event_ts, amount_inr, label_fraud, attack_family FROM pay_events", "pay_events"))
 def _(t: Tables):
     names = [f.name for f in readers.EVENT_SCHEMA.fields]
     rows = t("pay_events").select(*[F.col(n) if n in t("pay_events").columns else F.lit(None).cast("string").alias(n) for n in names])
@@ -42,7 +42,7 @@ def _(t: Tables):
     scores = t("predictions").select(*[F.col(f.name) if f.name in t("predictions").columns else F.lit(None).cast("string").alias(f.name) for f in readers.PREDICTION_SCHEMA.fields])
     scores_path = writers.write_dataset(scores, scratch_path(t.spark, "predictions") + ".csv")
     events, _ = readers.load_events(t.spark, path, scores_path)
-    return events.select("event_id", "event_ts", "amount_inr", "label_fraud", "attack_family")
+    return events.select("event_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "amount_inr", "label_fraud", "attack_family")
 
 
 @query("S5_log_round", with_views(

@@ -9,15 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 HOT_GROUP_ROWS = "spark.riskweave.hotGroupRows"
 SEGMENT_BYTES = "spark.riskweave.segmentBytes"
-BROADCAST_ROWS = "spark.riskweave.broadcastRows"
 
 DEFAULTS = {
     # Largest group one task may hold; bigger groups are cut into ordered segments.
     HOT_GROUP_ROWS: "2000000",
-    # Target input size of one ordered segment.
-    SEGMENT_BYTES: str(256 * 1024 * 1024),
-    # Largest table that may be broadcast after its rows were counted.
-    BROADCAST_ROWS: "1000000",
+    # Target input size of one ordered segment; file sizes are compressed, so rows take more in memory.
+    SEGMENT_BYTES: str(64 * 1024 * 1024),
 }
 
 
@@ -92,9 +89,12 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def segment_count(df: DataFrame, rows: int | None = None) -> int:
-    """Number of ordered segments so that one segment stays within the configured sizes."""
+    """Number of ordered segments so that one segment stays within the configured sizes.
+
+    Small inputs get as many segments as there are cores, within the shuffle partitions of the session.
+    """
     spark = df.sparkSession
-    wanted = [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    wanted = [min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)]
     wanted.append(estimated_bytes(df) // int_conf(spark, SEGMENT_BYTES) + 1)
     if rows is not None:
         wanted.append(rows // int_conf(spark, HOT_GROUP_ROWS) + 1)
