@@ -13,6 +13,7 @@ A key's rows of one micro-batch are folded by one task, so bound the micro-batch
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -110,6 +111,8 @@ def stream_running(
         return out
 
     def fold(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # The serializer joins the frames of many keys and warns once per empty one.
+        warnings.simplefilter("ignore", FutureWarning)
         if state.hasTimedOut:
             state.remove()
             return
