@@ -100,7 +100,7 @@ def format_conversations(messages: DataFrame, content: str = "content") -> DataF
 
 def turn_pieces(formatted: Column) -> Column:
     """The marked turns of a formatted conversation, in order. Markers can't come from texts, so cutting at them is exact."""
-    return F.transform(F.slice(F.split(formatted, "<\\|im_start\\|>"), 2, 2147483647), lambda p: F.concat(F.lit(START), p))
+    return F.transform(F.filter(F.split(formatted, "<\\|im_start\\|>"), lambda _, i: i > 0), lambda p: F.concat(F.lit(START), p))
 
 
 def read_turns(pieces: Column) -> Column:
