@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, exact, kdtree
+from riskweave.llm import chat, exact, kdtree, packing, repair, secrets
 from riskweave.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _query(name: str, oracle: str | None = None):
@@ -62,3 +64,21 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op9(spark, sf_dir):
     """Groups of equal texts; the largest doc_id of a group stays."""
     return exact.exact_groups(documents(spark, sf_dir))
+
+
+@_query("op7_repair_token_files")
+def op7(spark, sf_dir):
+    """Token ids of all documents written as grammar-compressed shards and read back."""
+    return repair.repair_round_trip(documents(spark, sf_dir), TOKENIZER)
+
+
+@_query("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
+
+
+@_query("op10_secret_scan")
+def op10(spark, sf_dir):
+    """Secrets in every whole text."""
+    return secrets.span_digest(secrets.scan_secrets(documents(spark, sf_dir)))
