@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from riskweave.llm.common import ranges
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _BATCH_WORDS = 20_000
 _SEPARATOR = "\x00"
 _ODD = re.compile("[\x00\x1c-\x1f]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, exact, kdtree, packing, repair, secrets
+from riskweave.llm import bagminhash, chat, decontam, exact, kdtree, packing, repair, secrets
 from riskweave.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -57,6 +57,18 @@ def op2(spark, sf_dir):
     return chat.conversation_digest(chat.format_conversations(messages))
 
 
+@_query("op3_simhash_decontamination")
+def op3(spark, sf_dir):
+    """Documents that hold a benchmark item, with the most similar window of each."""
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_query("op6_bagminhash_near_dedup")
+def op6(spark, sf_dir):
+    """Classes of near duplicates over all documents."""
+    return bagminhash.near_duplicate_classes(documents(spark, sf_dir))
+
+
 @_query("op9_heavy_hitter_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
   sha256(coalesce(text, '')) AS text_sha256

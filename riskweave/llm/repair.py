@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by doc_id; a task tokenizes its whole texts and cuts them into shards of about
 ``SHARD_IDS`` ids. In a shard, frequent id pairs are replaced by nonterminals again and again until no pair occurs
-``MIN_COUNT`` times; a round replaces many pairs at once, the more frequent first where they overlap. Pairs never cross
+``MIN_COUNT`` times or a round gains less than ``LEAST_GAIN``; a round replaces many pairs at once, the more frequent first where they overlap. Pairs never cross
 documents, so a document is decoded alone from its part of the sequence and the rules.
 
 File format: Parquet in the shared folder, one row per shard: part, shard, n_ids, doc_ids, sequence offsets of the documents,
@@ -31,6 +31,8 @@ from riskweave.session import scratch_path
 END_ID = 2
 SHARD_IDS = 1 << 20
 MIN_COUNT = 24
+#: A shard is done when a round takes less than this share of its sequence away.
+LEAST_GAIN = 0.01
 _NO_RANK = np.iinfo(np.int64).max
 _SLICE = 2 << 20
 SHARD_SCHEMA = "part int, shard int, n_ids long, doc_ids binary, doc_valid binary, offsets binary, base long, rules binary, rule_lengths binary, sequence binary"
@@ -44,6 +46,10 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+
+
 def compress(ids: np.ndarray, offsets: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules, expansion lengths, sequence, offsets of the documents in the sequence)."""
     x, offsets = ids.astype(np.int64), offsets.astype(np.int64)
@@ -61,14 +67,24 @@ def compress(ids: np.ndarray, offsets: np.ndarray, min_count: int = MIN_COUNT) -
             break
         pairs, seen = ordered[often], counts[np.searchsorted(starts, often)]
         rank_of = np.empty(len(pairs), np.int64)
-        rank_of[np.lexsort((pairs, -seen))] = np.arange(len(pairs))
-        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        rank = np.where(pairs[at] == keys, rank_of[at], _NO_RANK)
+        order = np.lexsort((pairs, -seen))
+        rank_of[order] = np.arange(len(pairs))
+        # Most places hold no frequent pair: a small table of hashed pairs rules them out before the search.
+        maybe = np.zeros(1 << 18, bool)
+        maybe[_short(pairs)] = True
+        place = np.flatnonzero(maybe[_short(keys)])
+        found = np.minimum(np.searchsorted(pairs, keys[place]), len(pairs) - 1)
+        same = pairs[found] == keys[place]
+        place, found = place[same], found[same]
+        rank = np.full(len(keys), _NO_RANK)
+        rank[place] = rank_of[found]
         before = np.concatenate([[_NO_RANK], rank[:-1]])
         after = np.concatenate([rank[1:], [_NO_RANK]])
-        # A pair is taken where it beats both neighbours; of equal neighbours the left one, so taken pairs never overlap.
-        chosen = np.flatnonzero((rank != _NO_RANK) & (rank < before) & (rank <= after))
-        used, symbol = np.unique(at[chosen], return_inverse=True)
+        # A pair is taken where it beats both neighbours, and every second one of a run of equal pairs: none overlap.
+        position = np.arange(len(rank))
+        place = position - np.maximum.accumulate(np.where(rank != before, position, 0))
+        chosen = np.flatnonzero((rank != _NO_RANK) & (place % 2 == 0) & ((place > 0) | (rank < before)) & (rank <= after))
+        used, symbol = np.unique(order[rank[chosen]], return_inverse=True)
         left, right = pairs[used] >> 32, pairs[used] & 0xFFFFFFFF
         known = np.concatenate([np.zeros(0, np.int64), *lengths])
         size = [np.where(s < base, 1, known[np.maximum(s - base, 0)] if len(known) else 1) for s in (left, right)]
@@ -80,6 +96,8 @@ def compress(ids: np.ndarray, offsets: np.ndarray, min_count: int = MIN_COUNT) -
         keep[chosen + 1] = False
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         x = x[keep]
+        if len(chosen) < len(x) * LEAST_GAIN:
+            break
     return base, np.concatenate([np.zeros((0, 2), np.int64), *rules]), np.concatenate([np.zeros(0, np.int64), *lengths]), x, offsets
 
 
