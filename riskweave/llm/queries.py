@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskweave.llm import bagminhash, chat, decontam, exact, kdtree, packing, repair, secrets
+from riskweave.llm import bagminhash, chains, chat, decontam, exact, kdtree, packing, repair, secrets
 from riskweave.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -63,6 +63,12 @@ def op3(spark, sf_dir):
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_query("op4_collinear_chains")
+def op4(spark, sf_dir):
+    """Passages of over 50 words that repeat across documents."""
+    return chains.passages(documents(spark, sf_dir))
+
+
 @_query("op6_bagminhash_near_dedup")
 def op6(spark, sf_dir):
     """Classes of near duplicates over all documents."""
