@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskweave.llm import bagminhash, chains, chat, decontam, exact, kdtree, packing, repair, secrets
+from riskweave.llm import bagminhash, chains, chat, decontam, exact, kdtree, langid, packing, repair, secrets
 from riskweave.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -69,6 +69,12 @@ def op4(spark, sf_dir):
     return chains.passages(documents(spark, sf_dir))
 
 
+@_query("op5_byte_gru_language")
+def op5(spark, sf_dir):
+    """Language of every whole text, learned from rows that are not held out."""
+    return langid.identify(documents(spark, sf_dir))
+
+
 @_query("op6_bagminhash_near_dedup")
 def op6(spark, sf_dir):
     """Classes of near duplicates over all documents."""
