@@ -27,7 +27,7 @@ from riskweave.llm.common import text_slices
 
 HIDDEN, STEPS = 8, 64
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 400, 6
-EPOCHS, BATCH, RATE = 14, 128, 0.02
+EPOCHS, BATCH, RATE = 5, 128, 0.02
 UNKNOWN = "und"
 _SLICE, _ROWS = 2 << 20, 2048
 
