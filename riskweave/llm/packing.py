@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm import bpe
-from riskweave.llm.common import gapless
+from riskweave.llm.common import gapless, text_slices
 from riskweave.session import pin
 
 END_ID = 0
@@ -52,23 +52,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe.encoder(shared).encode
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
-            sizes = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0))) if len(texts) else []
-            first = 0
-            while first < len(texts):
-                base = sizes[first - 1] if first else 0
-                end = max(first + 1, int(np.searchsorted(sizes, base + _SLICE, side="right")))
-                ids, offsets = encode([t or "" for t in texts.slice(first, end - first).to_pylist()])
+            for first, end, data, at in text_slices(batch, "text", _SLICE):
+                ids, offsets = encode(data, at)
                 ids = ids.astype("<u4")
                 rows: list[list] = [[], [], [], [], []]
-                for i, doc_id in enumerate(doc_ids.slice(first, end - first).to_pylist()):
+                for i, doc_id in enumerate(batch.column(0).slice(first, end - first).to_pylist()):
                     own = np.append(ids[offsets[i]:offsets[i + 1]], np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(own), capacity)):
                         piece = own[start:start + capacity]
                         for column, value in zip(rows, (doc_id, k, start, len(piece), zlib.crc32(piece.tobytes())), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
-                first = end
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

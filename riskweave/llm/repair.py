@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm import bpe
-from riskweave.llm.common import ranges
+from riskweave.llm.common import ranges, text_slices
 from riskweave.session import scratch_path
 
 END_ID = 2
@@ -141,17 +141,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         tokens, part, shard = bpe.encoder(shared).encode, TaskContext.get().partitionId(), 0
         doc_ids, parts, sizes, held = [], [], [], 0
         for batch in batches:
-            texts = batch.column(1)
-            ends = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)))
-            first = 0
-            while first < len(texts):
-                end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _SLICE, side="right")))
-                ids, offsets = tokens([t or "" for t in texts.slice(first, end - first).to_pylist()])
+            for first, end, data, at in text_slices(batch, "text", _SLICE):
+                ids, offsets = tokens(data, at)
                 doc_ids += batch.column(0).slice(first, end - first).to_pylist()
                 parts.append(np.insert(ids, offsets[1:], end_id))
                 sizes.append(np.diff(offsets) + 1)
                 held += len(parts[-1])
-                first = end
                 if held >= shard_ids:
                     yield row(part, shard, doc_ids, parts, sizes)
                     doc_ids, parts, sizes, held, shard = [], [], [], 0, shard + 1

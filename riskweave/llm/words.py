@@ -58,19 +58,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, offsets of the documents in that list)."""
-    starts, ends = word_spans(data, offsets)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans that follow each other without overlap: a polynomial of the bytes, mixed with the length."""
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64)
     up, down = _powers(len(data))
     value = up[:len(data)] * (data.astype(np.uint64) + np.uint64(1))
     both = np.empty(2 * len(starts), np.int64)
     both[0::2], both[1::2] = starts, ends
+    # A span that touches the next one leaves an empty sum between them; reduceat gives that a value, which is not used.
     if both[-1] == len(data):
         both = both[:-1]
     sums = np.add.reduceat(value, both)[0::2]
-    return mix(sums * down[starts]), np.searchsorted(starts, offsets)
+    return mix(sums * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, offsets of the documents in that list)."""
+    starts, ends = word_spans(data, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
