@@ -38,17 +38,19 @@ def prune_to_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     )
 
 
-def gapless(df: DataFrame, group: str, order: list[str], rows: int, per_chunk: int = 20_000) -> DataFrame:
+def gapless(df: DataFrame, group: str, order: list[str], sizes: dict[int, int], per_chunk: int = 1_000) -> DataFrame:
     """Number the rows of each group from 0 without holding a group in one task: adds ``slot``.
 
-    Rows are dealt by hash into chunks; a row's number is its place in its chunk plus the sizes of the chunks before,
-    which are summed over a table of (groups x chunks) rows.
+    ``sizes`` has the expected rows of every group; groups are few by nature (shards, lengths). Rows of a group are dealt by hash
+    into chunks of about ``per_chunk`` rows. A row's number is its place in its chunk plus the rows of the group's earlier chunks,
+    which are summed over a table of one row per chunk.
     """
-    chunks = max(1, rows // per_chunk + 1)
-    dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
-    sizes = dealt.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    spark = df.sparkSession
+    chunks = F.broadcast(spark.createDataFrame([(g, n // per_chunk + 1) for g, n in sizes.items()], "_of long, _chunks long"))
+    dealt = df.join(chunks, F.col(group) == F.col("_of")).withColumn("_chunk", F.pmod(F.xxhash64(*order), F.col("_chunks"))).drop("_of", "_chunks")
+    counted = dealt.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(group, "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    bases = counted.select(group, "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     inside = F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(*order)).cast("long") - 1
     return (
         dealt.withColumn("_inside", inside).join(bases, [group, "_chunk"])

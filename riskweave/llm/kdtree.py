@@ -158,7 +158,7 @@ def kdtree_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     leaf = spark.createDataFrame([(i, n.first) for i, n in enumerate(nodes)], "_node int, _shard int")
     sharded = free.join(F.broadcast(leaf), "_node").select("doc_id", "_size", "text_crc32", "_shard")
     sharded = sharded.unionByName(fixed.select("doc_id", "_size", "text_crc32", "_shard"))
-    out = gapless(sharded, "_shard", ["doc_id", "text_crc32", "_size"], count)
+    out = gapless(sharded, "_shard", ["doc_id", "text_crc32", "_size"], dict.fromkeys(range(shards), count // shards + 1))
     return out.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.col("_shard").alias("shard"), "slot")
 
 

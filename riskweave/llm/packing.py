@@ -187,7 +187,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     table = spark.sparkContext.broadcast(runs(solve(counts, capacity)))
-    numbered = gapless(pieces, "length", ["doc_id", "piece", "ids_crc32"], sum(counts.values()))
+    numbered = gapless(pieces, "length", ["doc_id", "piece", "ids_crc32"], counts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
