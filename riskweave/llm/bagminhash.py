@@ -27,16 +27,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import prune_to_ids, text_slices
-from riskweave.llm.words import mix, multiset, shingle_hashes, word_hashes
+from riskweave.llm.words import mix, shingle_hashes, word_hashes
 from riskweave.session import pin
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Members of a bucket outside its largest component that are tested in one round.
-TESTED_PER_ROUND = 16
+TESTED_PER_ROUND = 64
 _SLICE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPARE = 4.0
+_SPARE = 3.0
+#: Bits of a shingle's hash; the other bits of a word hold its document's number in a slice.
+_HASH_BITS = 47
 
 
 def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs: int, places: int) -> np.ndarray:
@@ -54,13 +56,11 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs:
     while todo.any():
         chosen = todo[doc[element]]
         slot, time, point = _points(seed[chosen], bits[chosen], below[chosen], doc[element][chosen], limit, places)
-        order = np.lexsort((point, time, slot))
-        slot, point = slot[order], point[order]
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
-        out.ravel()[slot[first]] = point[first]
-        filled = np.bincount(slot[first] // places, minlength=n_docs)
-        todo &= filled < places
+        earliest = np.full(n_docs * places, np.inf)
+        np.minimum.at(earliest, slot, time)
+        won = time == earliest[slot]
+        out.ravel()[slot[won]] = point[won]
+        todo &= np.isinf(earliest.reshape(n_docs, places)).any(axis=1)
         limit = np.where(todo, 2 * limit, limit)
     return out
 
@@ -99,9 +99,17 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
-def _bags(data: np.ndarray, offsets: np.ndarray):
+def _bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, count), by document and shingle. Document and hash share a word, so that one plain sort will do."""
     words, word_offsets = word_hashes(data, offsets)
-    return multiset(*shingle_hashes(words, word_offsets, WIDTH))
+    hashes, at = shingle_hashes(words, word_offsets, WIDTH)
+    doc = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
+    packed = np.sort((doc << np.uint64(_HASH_BITS)) | (hashes >> np.uint64(64 - _HASH_BITS)))
+    if not len(packed):
+        return np.zeros(0, np.int64), packed, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
+    own = packed[first]
+    return (own >> np.uint64(_HASH_BITS)).astype(np.int64), own & np.uint64((1 << _HASH_BITS) - 1), np.diff(np.append(first, len(packed)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -201,15 +209,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     tested = pin(pairs.where((F.col("a") != F.col("b")) & comparable).select("a", "b").distinct(), "tested")
     links = verify(tested, docs)
     comps = components(links)
-    done = None  # (key, rep) that have been tested against their whole bucket
-    while True:
-        more, done = _open_pairs(members.select("key", "rep", "weight"), comps, done)
+    done, open_ = None, True  # done: (key, rep) tested against their whole bucket
+    while open_:
+        more, done, open_ = _open_pairs(members.select("key", "rep", "weight"), comps, done)
         if more is None:
             break
         fresh = pin(more.join(tested, ["a", "b"], "left_anti"), "tested")
-        if fresh.limit(1).count():
-            links = pin(links.select("a", "b").union(verify(fresh, docs).select("a", "b")), "links")
-            tested = pin(tested.union(fresh), "tested")
+        found = verify(fresh, docs)
+        tested = pin(tested.union(fresh), "tested") if open_ else tested
+        if found.limit(1).count():
+            links = pin(links.select("a", "b").union(found.select("a", "b")), "links")
             comps = components(links)
     classes = same.select(*bag, "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.withColumn("class_id", F.coalesce("comp", "rep"))
@@ -219,27 +228,28 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, done: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+def _open_pairs(members: DataFrame, comps: DataFrame, done: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None, bool]:
     """Pairs still to test: in buckets of several components, members outside the largest against all other components.
 
-    Returns (None, done) when no such member is left.
+    Returns (pairs or None, members tested so far, whether some bucket has more such members than fit in this round). Components
+    only merge, so once every member outside is tested, no pair across components is left.
     """
     placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = pin(mixed.select("key", F.col("top.comp").alias("main")), "mixed")
-    if not mixed.limit(1).count():
-        return None, done
-    held = pin(placed.join(mixed, "key"), "open")
+    held = pin(placed.join(mixed.select("key", F.col("top.comp").alias("main")), "key"), "open")
     outside = held.where("comp != main")
     if done is not None:
         outside = outside.join(done, ["key", "rep"], "left_anti")
-    few = outside.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("_n") <= TESTED_PER_ROUND)
-    few = pin(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x")), "outside")
-    if not few.limit(1).count():
-        return None, done
-    now = few.select("key", F.col("x").alias("rep"))
-    done = pin(now if done is None else done.union(now), "done")
+    few = outside.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("_n") <= TESTED_PER_ROUND + 1)
+    few = pin(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x"), "_n"), "outside")
+    most = few.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None, done, False
+    few = few.where(F.col("_n") <= TESTED_PER_ROUND).drop("_n")
+    if most > TESTED_PER_ROUND:
+        now = few.select("key", F.col("x").alias("rep"))
+        done = pin(now if done is None else done.union(now), "done")
     near = F.least("weight", "weight_x") >= SIMILARITY * F.greatest("weight", "weight_x")
     pairs = few.join(held, "key").where((F.col("comp") != F.col("comp_x")) & near)
-    return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), done
+    return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), done, most > TESTED_PER_ROUND

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bits of the fixed-size id filter of ``prune_to_ids``: its two columns never exceed 65,536 rows.
 FILTER_BITS = 22
+SLICE_ROWS = 1 << 17
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def gapless(df: DataFrame, group: str, order: list[str], sizes: dict[int, int],
 
 
 def text_slices(batch: pa.RecordBatch, column: str, budget: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of rows with at most ``budget`` text bytes (one row at least).
+    """Cut a batch into runs of rows with at most ``budget`` text bytes and ``SLICE_ROWS`` rows (one at least).
 
     Yields (first row, end row, bytes of the run, offsets of its rows in those bytes). Nulls are empty.
     """
@@ -73,7 +74,7 @@ def text_slices(batch: pa.RecordBatch, column: str, budget: int) -> Iterator[tup
     first, n = 0, len(col)
     while first < n:
         end = int(np.searchsorted(offsets, offsets[first] + budget, side="right")) - 1
-        end = min(max(end, first + 1), n)
+        end = min(max(end, first + 1), n, first + SLICE_ROWS)
         yield first, end, data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         first = end
 
