@@ -34,7 +34,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Members of a bucket outside its largest component that are tested in one round.
 TESTED_PER_ROUND = 64
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPARE = 3.0
 #: Bits of a shingle's hash; the other bits of a word hold its document's number in a slice.
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 weight = np.bincount(doc, count, n).astype(np.int64)
                 digests = []
                 for salt in (1, 2):  # sums of mixed (shingle, count): equal multisets have equal sums
-                    value = mix(h + mix(count.astype(np.uint64) + np.uint64(salt) * _ODD))
+                    value = mix(h + mix(count.astype(np.uint64) + np.uint64(salt * int(_ODD) & (1 << 64) - 1)))
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
                     cut = np.searchsorted(doc, np.arange(n + 1))
                     digests.append((sums[cut[1:]] - sums[cut[:-1]]).view(np.int64))
@@ -139,12 +139,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ], ["doc_id", "weight", "d1", "d2", "bands"])
 
     raw = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), raw.alias("raw"))
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", raw.alias("raw"))
     return low.mapInArrow(sketch, "doc_id long, weight long, d1 long, d2 long, bands array<long>")
 
 
 def similarities(pairs: DataFrame) -> DataFrame:
-    """Exact weighted Jaccard similarity of pairs (a, b, text_a, text_b; texts in lower case)."""
+    """Exact weighted Jaccard similarity of pairs (a, b, text_a, text_b)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +174,7 @@ def similarities(pairs: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Stored pairs (a, b) with similarity 0.8 or more. Only texts of documents that are in a pair are moved."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = prune_to_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")), ids, "doc_id")
+    texts = prune_to_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id")
     texts = texts.dropDuplicates(["doc_id"])
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     compared = similarities(pairs.join(left, "a").join(right, "b"))

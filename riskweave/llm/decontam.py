@@ -30,7 +30,7 @@ from riskweave.llm.words import mix, multiset, shingle_hashes, word_hashes
 WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 11, 4
 #: Most benchmark bytes in one broadcast block; its tables take about 100 times that many bytes for short items.
 BLOCK_BYTES = 2 << 20
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
 
@@ -177,8 +177,8 @@ def match_batch(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, hamming, start_word, n_words of every document row and item with similarity 0.8 or more."""
     spark = docs.sparkSession
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
     result = None

@@ -1,6 +1,6 @@
 """Words and shingles of whole texts as 64-bit hashes, computed for many texts at once in numpy.
 
-A word is a run of letters and digits. Texts arrive lower-cased by Spark; ASCII punctuation, the Latin-1 signs and the general
+A word is a run of letters and digits in lower case. ASCII punctuation, the Latin-1 signs and the general
 and CJK punctuation blocks separate words, every other non-ASCII character belongs to a word.
 """
 
@@ -14,6 +14,8 @@ _CLASS = np.zeros(256, np.uint8)
 for _c in range(256):
     _CLASS[_c] = 1 if _c >= 0x80 or chr(_c).isalnum() else 0
 _CLASS[[0xC2, 0xE2, 0xE3]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -58,6 +60,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def lowered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lower case: by table while all characters are below U+0100, else by Python, text by text."""
+    if not len(data):
+        return data, offsets
+    if data.max() < 0xC4:
+        low = _LOWER[data]
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+        latin = latin[(data[latin] <= 0x9E) & (data[latin] != 0x97)]
+        low[latin] += 0x20
+        return low, offsets
+    raw = data.tobytes()
+    texts = [raw[a:b].decode().lower().encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of byte spans that follow each other without overlap: a polynomial of the bytes, mixed with the length."""
     if not len(starts):
@@ -75,6 +92,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, offsets of the documents in that list)."""
+    data, offsets = lowered(data, offsets)
     starts, ends = word_spans(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
