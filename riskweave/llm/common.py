@@ -18,6 +18,15 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows the driver knows, handed to the JVM as Arrow data: no Python worker is needed to read them."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    fields = [tuple(f.split()) for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    table = pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+    return spark.createDataFrame(table)
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -47,7 +56,7 @@ def gapless(df: DataFrame, group: str, order: list[str], sizes: dict[int, int],
     which are summed over a table of one row per chunk.
     """
     spark = df.sparkSession
-    chunks = F.broadcast(spark.createDataFrame([(g, n // per_chunk + 1) for g, n in sizes.items()], "_of long, _chunks long"))
+    chunks = F.broadcast(small_frame(spark, [(g, n // per_chunk + 1) for g, n in sizes.items()], "_of long, _chunks long"))
     dealt = df.join(chunks, F.col(group) == F.col("_of")).withColumn("_chunk", F.pmod(F.xxhash64(*order), F.col("_chunks"))).drop("_of", "_chunks")
     counted = dealt.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.llm.common import small_frame
 from riskweave.session import pin
 
 COUNTERS = 1024
@@ -48,7 +49,7 @@ def frequent_digests(rows: DataFrame, counters: int = COUNTERS, column: str = "d
     total = rows.count()
     summed = rows.select(column).mapInPandas(summarise, f"{column} string, low long").groupBy(column).agg(F.sum("low").alias("low"))
     likely = [r[0] for r in summed.where(F.col("low") * (counters + 1) >= total).collect()]  # sums of lows stay within the rows
-    winners = rows.sparkSession.createDataFrame([(d,) for d in likely], f"{column} string")
+    winners = small_frame(rows.sparkSession, [(d,) for d in likely], f"{column} string")
     return (
         rows.join(F.broadcast(winners), column).groupBy(column)
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_keep"))
@@ -66,8 +67,8 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     rows = digest_rows(docs)
     spark = rows.sparkSession
     found = frequent_digests(rows, counters).collect()  # at most counters + 1 rows
-    winners = F.broadcast(spark.createDataFrame(
-        [(r["digest"], r["group_size"], r["_keep"]["doc_id"], r["_keep"]["_row"]) for r in found],
+    winners = F.broadcast(small_frame(
+        spark, [(r["digest"], r["group_size"], r["_keep"]["doc_id"], r["_keep"]["_row"]) for r in found],
         "digest string, group_size long, keep_id long, _keep_row long"))
     hot = rows.join(winners, "digest")
     group = Window.partitionBy("digest")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import gapless, utf8_bytes
+from riskweave.llm.common import gapless, small_frame, utf8_bytes
 from riskweave.session import pin
 
 FANOUT = 512  # buckets per node at least; the nodes of a level share ``LEVEL_BUCKETS``
@@ -73,7 +73,7 @@ def _node_frame(spark, nodes: list[_Node]) -> DataFrame:
         (i, n.dim, n.level, n.low, n.high, n.value, n.group) for i, n in enumerate(nodes)
     ]
     schema = "_node int, _dim int, _level int, _low long, _high long, _v long, _g long"
-    return F.broadcast(spark.createDataFrame(rows, schema))  # one row per node: fewer than there are shards
+    return F.broadcast(small_frame(spark, rows, schema))  # one row per node: fewer than there are shards
 
 
 def _pick(dims: int) -> Column:
@@ -147,7 +147,7 @@ def kdtree_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
         if r["size"] <= room[best]:
             room[best] -= r["size"]
             placed.append((r["_group"], best))
-    heavy = F.broadcast(spark.createDataFrame(placed, "_group long, _shard int"))
+    heavy = F.broadcast(small_frame(spark, placed, "_group long, _shard int"))
     fixed = rows.join(heavy, "_group")
     free = rows.join(heavy, "_group", "left_anti").withColumn("_node", F.lit(0))
     spans = free.agg(*[f(F.col("_dims")[d]) for d in range(max(1, len(dimensions))) for f in (F.min, F.max)]).first()
@@ -155,7 +155,7 @@ def kdtree_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     nodes = [_Node(0, shards)]
     while any(n.n > 1 for n in nodes):
         nodes, free = _split_level(free, nodes, room, widths, len(dimensions))
-    leaf = spark.createDataFrame([(i, n.first) for i, n in enumerate(nodes)], "_node int, _shard int")
+    leaf = small_frame(spark, [(i, n.first) for i, n in enumerate(nodes)], "_node int, _shard int")
     sharded = free.join(F.broadcast(leaf), "_node").select("doc_id", "_size", "text_crc32", "_shard")
     sharded = sharded.unionByName(fixed.select("doc_id", "_size", "text_crc32", "_shard"))
     out = gapless(sharded, "_shard", ["doc_id", "text_crc32", "_size"], dict.fromkeys(range(shards), count // shards + 1))
@@ -185,7 +185,7 @@ def _split_level(free: DataFrame, nodes: list[_Node], room: list[float], widths:
             half = node.n // 2
             cuts.append((i, node.dim, *node.cut, len(children), len(children) + 1))
             children += [_Node(node.first, half), _Node(node.first + half, node.n - half)]
-    table = F.broadcast(spark.createDataFrame(cuts, "_node int, _dim int, _v long, _g long, _d long, _left int, _right int"))
+    table = F.broadcast(small_frame(spark, cuts, "_node int, _dim int, _v long, _g long, _d long, _left int, _right int"))
     value = _pick(dims)
     left = (value < F.col("_v")) | ((value == F.col("_v")) & (
         (F.col("_group") < F.col("_g")) | ((F.col("_group") == F.col("_g")) & (F.col("_id") <= F.col("_d")))))
