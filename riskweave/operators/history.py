@@ -184,7 +184,9 @@ def trailing_hour(
     are compared as prefix totals: everything before the row, less everything that is more than an
     hour older, where the older total is read at a probe row placed one hour back.
     """
-    money = F.coalesce(F.col(amount).cast("double"), F.lit(0.0)) if amount else F.lit(0.0)
+    # Decimals: a difference of prefix totals is then the same number as the sum of the frame.
+    zero = F.lit(0).cast("decimal(28,6)")
+    money = F.coalesce(F.col(amount).try_cast("decimal(28,6)"), zero) if amount else zero
     base = df.withColumns({"_us": F.unix_micros(F.col(ts).cast("timestamp")), "_m": money})
     hot = hot or find_hot(df, [key])
     cold, heavy = split_hot(base, hot)
@@ -194,11 +196,14 @@ def trailing_hour(
     hour = Window.partitionBy(key).orderBy("_us").rangeBetween(-HOUR_MICROS, Window.currentRow)
     peers = Window.partitionBy(key, "_us").orderBy(tiebreak).rowsBetween(1, Window.unboundedFollowing)
     count = F.row_number().over(by_time) - 1 - F.count(F.lit(1)).over(older)
-    value = F.sum("_m").over(hour) - F.coalesce(F.sum("_m").over(peers), F.lit(0.0))
+    value = F.sum("_m").over(hour) - F.coalesce(F.sum("_m").over(peers), zero)
     out = cold.withColumns({"events_last_hour": count.cast("long"), "value_sum_last_hour": value})
     if heavy is not None:
         out = out.unionByName(_trailing_hour_segmented(heavy, key, tiebreak, row_id))
-    result = out.select(*df.columns, "events_last_hour", F.round("value_sum_last_hour", 2).alias("value_sum_last_hour_inr"))
+    timed = F.col("_us").isNotNull()  # without a time nothing is in the hour but the row itself
+    result = out.select(
+        *df.columns, F.when(timed, F.col("events_last_hour")).otherwise(F.lit(0).cast("long")).alias("events_last_hour"),
+        F.round(F.when(timed, F.col("value_sum_last_hour")).otherwise(F.col("_m")).cast("double"), 2).alias("value_sum_last_hour_inr"))
     return result if amount else result.drop("value_sum_last_hour_inr")
 
 
@@ -207,7 +212,7 @@ def _trailing_hour_segmented(heavy: DataFrame, key: str, tiebreak: str, row_id:
     events = narrow.select("*", F.lit(1).alias("_kind"), F.lit(1).alias("_one"))
     # A probe sorts before all events of its instant: it sees strictly older rows only.
     probes = narrow.select(
-        key, row_id, (F.col("_us") - HOUR_MICROS).alias("_us"), "_tie", F.lit(0.0).alias("_m"),
+        key, row_id, (F.col("_us") - HOUR_MICROS).alias("_us"), "_tie", F.lit(0).cast("decimal(28,6)").alias("_m"),
         F.lit(0).alias("_kind"), F.lit(0).alias("_one"),
     )
     walked = running(events.unionByName(probes), [key], ["_us", "_kind", "_tie", row_id], {
@@ -221,7 +226,7 @@ def _trailing_hour_segmented(heavy: DataFrame, key: str, tiebreak: str, row_id:
     return heavy.join(spans, F.col(row_id) == F.col("_row")).select(
         *heavy.columns,
         (F.col("_n1") - 1 - F.coalesce("_n0", F.lit(0))).cast("long").alias("events_last_hour"),
-        (F.col("_v1") - F.coalesce("_v0", F.lit(0.0))).alias("value_sum_last_hour"),
+        (F.col("_v1") - F.coalesce("_v0", F.lit(0).cast("decimal(28,6)"))).alias("value_sum_last_hour"),
     )
 
 

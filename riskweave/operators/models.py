@@ -67,12 +67,12 @@ class ScoringModel:
 
 
 def text_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Most frequent value of each text column: one aggregation, one result row per column."""
+    """Most frequent value of each text column, the smallest of ties: one aggregation, one result row per column."""
     if not columns:
         return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
     counts = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.groupBy("c").agg(F.max_by("v", F.struct("n", "v")).alias("v")).collect()
+    rows = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
     return {c: "missing" for c in columns} | {r["c"]: r["v"] for r in rows}
 
 

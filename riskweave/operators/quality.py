@@ -282,7 +282,7 @@ def population_checks(
     critical, high = "critical", "high"
     gaps = catalog_gaps(df, "attack_vector_id", vectors, vector_key, holdout, holdout_key)
     short = class_coverage(df, "split", "label_fraud").agg(F.count_if(F.col("classes") != 2).alias("n"))
-    splits = F.count_if(~F.col("split").isin(*d.SPLITS))
+    splits = F.count_if(F.coalesce(~F.col("split").isin(*d.SPLITS), F.lit(True)))
     return checks_table(df, [
         Check("required_schema", critical, "no missing fields", F.lit(len(missing_columns(df, required)))),
         Check("event_id_uniqueness", critical, "0 duplicates", "duplicates", frame=duplicate_keys(df, ["event_id"])),

@@ -197,13 +197,14 @@ def _(t: Tables):
     "P15_risk_signal_density",
     with_views(
         "SELECT event_id, round((coalesce(CAST(device_is_new AS INT), 0) + CASE WHEN agent_signature_valid = false THEN 1 ELSE 0 END + CASE WHEN consumer_consent_valid = false THEN 1 ELSE 0 END "
-        "+ CASE WHEN beneficiary_age_days < 7 THEN 1 ELSE 0 END + CASE WHEN amount_inr / greatest(sender_baseline_amount_inr, 1e0) >= 2 THEN 1 ELSE 0 END "
-        "+ CASE WHEN payment_count >= 3 THEN 1 ELSE 0 END + CASE WHEN urgency_level >= 4 THEN 1 ELSE 0 END) / CAST(greatest(5, k % 6 + 3) AS DOUBLE), 4) AS density FROM evidence_events "
-        "WHERE sender_baseline_amount_inr IS NOT NULL", "evidence_events"),
+        "+ CASE WHEN beneficiary_age_days < 7 THEN 1 ELSE 0 END + CASE WHEN sender_baseline_amount_inr IS NOT NULL AND amount_inr / greatest(sender_baseline_amount_inr, 1e0) >= 2 THEN 1 ELSE 0 END "
+        "+ CASE WHEN payment_count >= 3 THEN 1 ELSE 0 END + CASE WHEN urgency_level >= 4 THEN 1 ELSE 0 END) / CAST(greatest(5, k % 6 + 3) AS DOUBLE), 4) AS density FROM evidence_events",
+        "evidence_events"),
 )
 def _(t: Tables):
-    df = t("evidence_events").where(F.col("sender_baseline_amount_inr").isNotNull())
-    ratio = F.col("amount_inr") / F.greatest(F.col("sender_baseline_amount_inr"), F.lit(1.0))
+    df = t("evidence_events")
+    baseline = F.col("sender_baseline_amount_inr")
+    ratio = F.when(baseline.isNotNull(), F.col("amount_inr") / F.greatest(baseline, F.lit(1.0)))
     density = p.risk_signal_density(
         p.strict_flag(df, "device_is_new"), p.trust_failure_count(df), F.col("beneficiary_age_days"), ratio,
         F.col("payment_count"), F.col("urgency_level"), F.col("k") % 6,

@@ -102,16 +102,16 @@ def _(t: Tables):
 
 @query("Q10_exact_duplicates", (
     "SELECT CAST(sum(n) AS BIGINT) AS raw_row_count, count(*) AS modeled_row_count, CAST(sum(n - 1) AS BIGINT) AS exact_duplicate_rows_removed, "
-    "CAST(sum(n * p) AS BIGINT) AS raw_fraud_count, CAST(sum(p) AS BIGINT) AS modeled_fraud_count FROM (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) AS n, "
-    "CAST(l_returnflag = 'R' AS INT) AS p FROM lineitem GROUP BY 1, 2, 3) x"))
+    "CAST(sum(n * p) AS BIGINT) AS raw_fraud_count, CAST(sum(p) AS BIGINT) AS modeled_fraud_count FROM (SELECT *, count(*) AS n, "
+    "CAST(l_returnflag = 'R' AS INT) AS p FROM lineitem GROUP BY ALL) x"))
 def _(t: Tables):
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    rows = t("lineitem")
     return q.deduplicate(rows, F.col("l_returnflag") == "R")[1]
 
 
-@query("Q10_deduplicated_rows", "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+@query("Q10_deduplicated_rows", "SELECT DISTINCT * FROM lineitem")
 def _(t: Tables):
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    rows = t("lineitem")
     return q.deduplicate(rows, F.col("l_returnflag") == "R")[0]
 
 
@@ -379,10 +379,10 @@ def _(t: Tables):
 
 
 @query("F9_psi_report", with_views(
-    f"SELECT feature, psi, CASE WHEN psi < 1e-1 THEN 'small' WHEN psi <= 25e-2 THEN 'moderate' ELSE 'large' END AS band FROM ({_PSI_ALL}) x ORDER BY psi DESC, feature LIMIT 2", "card_tx", **_PSI))
+    f"SELECT feature, psi, CASE WHEN psi < 1e-1 THEN 'small' WHEN psi <= 25e-2 THEN 'moderate' ELSE 'large' END AS band FROM ({_PSI_ALL}) x ORDER BY psi DESC, feature LIMIT 8", "card_tx", **_PSI))
 def _(t: Tables):
     ref, obs = reference_and_observed(t)
-    return fd.psi_report(ref, obs, ["v1", "v2", "v3", "amount"], top=2)
+    return fd.psi_report(ref, obs, ["v1", "v2", "v3", "amount"])
 
 
 def _shape(source: str, by: str) -> str:

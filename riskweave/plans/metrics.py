@@ -177,7 +177,7 @@ def _(t: Tables):
 
 @query("M11_bootstrap_pr_auc")
 def _(t: Tables):
-    return m.bootstrap_pr_auc(t("predictions"), "risk_score", "label_fraud", "event_id", repeats=50)
+    return m.bootstrap_pr_auc(t("predictions"), "risk_score", "label_fraud", "event_id")
 
 
 @query(
@@ -396,12 +396,12 @@ def _(t: Tables):
         "SELECT event_id, attack_family, sequence FROM (SELECT *, row_number() OVER (PARTITION BY attack_family ORDER BY src, event_id) AS r FROM ("
         "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY src, event_id) AS d FROM ("
         "SELECT 0 AS src, * FROM rows WHERE label = 1 AND alert UNION ALL SELECT 1 AS src, * FROM rows WHERE label = 1) u) v "
-        "WHERE d = 1 AND attack_family IS NOT NULL) w WHERE r <= 20", "predictions", rows=_TRAIN_ROWS),
+        "WHERE d = 1 AND attack_family IS NOT NULL) w WHERE r <= 500", "predictions", rows=_TRAIN_ROWS),
 )
 def _(t: Tables):
     rows = train_rows(t)
     old = rows.where((F.col("label") == 1) & F.col("alert"))
-    return s.replay_buffer(old, rows, "event_id", cap=20).select("event_id", "attack_family", "sequence")
+    return s.replay_buffer(old, rows, "event_id", cap=500).select("event_id", "attack_family", "sequence")
 
 
 @query(

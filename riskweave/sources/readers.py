@@ -47,9 +47,9 @@ def load_transactions(spark: SparkSession, path: str, numeric: Sequence[str] = C
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType, what: str) -> DataFrame:
-    """CSV files (one or a glob) with a header and a fixed schema; event_ts is parsed as UTC."""
+    """CSV files (one or a glob) with a header that names the schema's columns in order (else an error); event_ts is parsed as UTC."""
     try:
-        df = spark.read.schema(schema).option("header", True).csv(path)
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
