@@ -194,13 +194,18 @@ def forbidden_json_keys(
 ) -> DataFrame:
     """Q17: forbidden keys at any depth of JSON text, one row per (row, key).
 
-    The keys are read from the inferred schema of each value, so text inside string values is never
-    mistaken for a key.
+    Keys are the string tokens of the text that a colon follows, whatever characters they hold; tokens are taken left to right, so
+    text inside string values is never mistaken for a key. Text that is not JSON fails closed: it is a row of its own with the
+    key ``<unparsable>``, besides any forbidden keys in it. Null is no payload.
     """
-    shape = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    names = F.array_distinct(F.regexp_extract_all(shape, F.lit(r"([A-Za-z0-9_]+)`?: "), F.lit(1)))
-    found = df.select(row_id, F.explode(names).alias("key"))
-    bad = F.col("key").isin(*keys)
+    text = F.col(column)
+    tokens = F.regexp_extract_all(text, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?)'), F.lit(1))
+    quoted = F.transform(F.filter(tokens, lambda t: t.endswith(":")), lambda t: F.regexp_replace(t, r"\s*:$", ""))
+    names = F.transform(quoted, lambda t: F.coalesce(F.try_element_at(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), F.lit(1)), t))
+    broken = text.isNotNull() & F.try_parse_json(text).isNull()
+    listed = F.array_distinct(F.concat(names, F.when(broken, F.array(F.lit("<unparsable>"))).otherwise(F.array().cast("array<string>"))))
+    found = df.select(row_id, F.explode(listed).alias("key"))
+    bad = F.col("key").isin(*keys) | (F.col("key") == "<unparsable>")
     for fragment in fragments:
         bad = bad | F.lower("key").contains(fragment)
     return found.where(bad)

@@ -110,3 +110,11 @@ def test_psi_zero_for_same_and_constant_features(spark):
     df = spark.range(500).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
     got = {r["feature"]: r["psi"] for r in fd.psi_by_feature(df, df, ["a", "b"]).collect()}
     assert got == {"a": 0.0, "b": 0.0}
+
+
+def test_forbidden_keys_fail_closed(spark):
+    texts = ['{"password-hash": 1}', '{"user.password x": 1}', '{"a": [{"is_attack": true}, 3]}', '{"is_attack": true', '{"note": "\\"password\\": no"}', '{"a": 1}', None, '{"pass\\u0077ord": 1}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
+    found = q.forbidden_json_keys(rows, "payload", "id", keys=["is_attack"], fragments=["password"]).collect()
+    assert sorted((r["id"], r["key"]) for r in found) == [
+        (0, "password-hash"), (1, "user.password x"), (2, "is_attack"), (3, "<unparsable>"), (3, "is_attack"), (7, "password")]
