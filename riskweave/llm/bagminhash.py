@@ -8,9 +8,12 @@ all documents that have the shingle, so two places agree with probability sum(mi
 Points are drawn only up to the time by which all places of a document are filled, far fewer than shingles x places.
 
 Bands of places are hashed. Documents with the same shingle multiset are one class from the start. In each band bucket members
-are tested exactly against the bucket's smallest document; then, as long as a bucket holds several components, members outside
-its largest component are tested against all of the others, a few per round. Pairs inside a component need no test, so
-nothing is lost and a large group of near copies costs one test each.
+are tested exactly against the bucket's smallest document. A passage that many unlike documents share also fills buckets,
+so documents of buckets with several components go on to buckets of a prefix filter: their shingles in order of frequency, rarest
+first, up to the first that takes the weight before it beyond a fifth of the document's. Two documents of similarity 0.8 differ in at
+most a fifth of either's weight, so their rarest common shingle is in both prefixes, and what follows it bounds their overlap. As long
+as such a bucket holds several components, members outside its largest component are tested against those of the others that the bound
+admits: a few central members first, more in each round. Pairs inside a component need no test, so nothing is lost.
 
 Defined results: null is the empty text; documents without a word are one class per equal text; fewer than five words make one
 shingle. One row per document row; the kept document of a class is its smallest doc_id (repeated rows of it are all kept). A document
@@ -32,8 +35,8 @@ from riskweave.session import pin
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Members of a bucket outside its largest component that are tested in one round.
-TESTED_PER_ROUND = 64
+#: Members of a bucket outside its largest component that are tested in the first round; each round takes 8 times as many.
+FIRST_TESTED = 8
 _SLICE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPARE = 3.0
@@ -209,9 +212,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     tested = pin(pairs.where((F.col("a") != F.col("b")) & comparable).select("a", "b").distinct(), "tested")
     links = verify(tested, docs)
     comps = components(links)
-    done, open_ = None, True  # done: (key, rep) tested against their whole bucket
+    finer = _prefix_members(members.select("key", "rep", "weight"), comps, docs)
+    done, open_, most = None, True, FIRST_TESTED  # done: (key, rep) tested against their whole bucket
     while open_:
-        more, done, open_ = _open_pairs(members.select("key", "rep", "weight"), comps, done)
+        more, done, open_ = _open_pairs(finer, comps, done, most)
+        most *= 8
         if more is None:
             break
         fresh = pin(more.join(tested, ["a", "b"], "left_anti"), "tested")
@@ -228,28 +233,63 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, done: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None, bool]:
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    return members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def shingles(docs: DataFrame) -> DataFrame:
+    """rep, weight (number of shingles), key (shingle) and n (its count) of documents (rep, text)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch, "text", _SLICE):
+                doc, h, count = _bags(data, offsets)
+                weight = np.bincount(doc, count, end - first).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(first, end - first).take(pa.array(doc)), pa.array(weight[doc]), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64)),
+                ], ["rep", "weight", "key", "n"])
+
+    return docs.select("rep", "text").mapInArrow(split, "rep long, weight long, key long, n long")
+
+
+def _prefix_members(members: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Members (key, rep, weight, weight before the key) of the prefix filter's buckets: documents of band buckets that hold several components."""
+    placed = _placed(members, comps)
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    held = pin(placed.join(several.select("key"), "key").select(F.col("rep").alias("doc_id")).distinct(), "held")
+    texts = prune_to_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), held, "doc_id")
+    texts = texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bags = pin(shingles(texts.select(F.col("doc_id").alias("rep"), "text")), "shingles")
+    ranked = bags.join(bags.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), "key")
+    before = F.sum("n").over(Window.partitionBy("rep").orderBy("docs", "key")) - F.col("n")
+    ranked = ranked.withColumn("before", before).where((F.col("before") <= (1 - SIMILARITY) * F.col("weight") + 1e-6) & (F.col("docs") > 1))
+    return pin(ranked.select("key", "rep", "weight", "before"), "prefixes")
+
+
+def _open_pairs(members: DataFrame, comps: DataFrame, done: DataFrame | None, at_once: int) -> tuple[DataFrame | None, DataFrame | None, bool]:
     """Pairs still to test: in buckets of several components, members outside the largest against all other components.
 
     Returns (pairs or None, members tested so far, whether some bucket has more such members than fit in this round). Components
     only merge, so once every member outside is tested, no pair across components is left.
     """
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = _placed(members, comps)
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     held = pin(placed.join(mixed.select("key", F.col("top.comp").alias("main")), "key"), "open")
     outside = held.where("comp != main")
     if done is not None:
         outside = outside.join(done, ["key", "rep"], "left_anti")
-    few = outside.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("_n") <= TESTED_PER_ROUND + 1)
-    few = pin(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x"), "_n"), "outside")
+    few = outside.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("before", "rep"))).where(F.col("_n") <= at_once + 1)
+    few = pin(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x"), F.col("before").alias("before_x"), "_n"), "outside")
     most = few.agg(F.max("_n")).first()[0]
     if most is None:
         return None, done, False
-    few = few.where(F.col("_n") <= TESTED_PER_ROUND).drop("_n")
-    if most > TESTED_PER_ROUND:
+    few = few.where(F.col("_n") <= at_once).drop("_n")
+    if most > at_once:
         now = few.select("key", F.col("x").alias("rep"))
         done = pin(now if done is None else done.union(now), "done")
-    near = F.least("weight", "weight_x") >= SIMILARITY * F.greatest("weight", "weight_x")
+    # Without a common shingle before the key, the overlap is at most what is left; a similar pair passes at its rarest one.
+    left = F.least(F.col("weight") - F.col("before"), F.col("weight_x") - F.col("before_x"))
+    near = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("weight") + F.col("weight_x")) - 1e-6
     pairs = few.join(held, "key").where((F.col("comp") != F.col("comp_x")) & near)
-    return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), done, most > TESTED_PER_ROUND
+    return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), done, most > at_once
