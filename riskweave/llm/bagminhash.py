@@ -199,6 +199,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after more links (a, b): only distinct pairs of older components are linked, not their nodes."""
+    of = {c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b")}
+    pairs = found.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    pairs = pairs.select(F.coalesce("comp_a", "a").alias("x"), F.coalesce("comp_b", "b").alias("y")).where("x != y")
+    top = components(pin(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links"))
+    both = comps.withColumnRenamed("comp", "low").join(top.withColumnRenamed("node", "low"), "low", "full")
+    return pin(both.select(F.coalesce("node", "low").alias("node"), F.coalesce("comp", "low").alias("comp")), "labels")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, kept."""
     rows = pin(sketches(docs), "sketches")
@@ -223,8 +233,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         found = verify(fresh, docs)
         tested = pin(tested.union(fresh), "tested") if open_ else tested
         if found.limit(1).count():
-            links = pin(links.select("a", "b").union(found.select("a", "b")), "links")
-            comps = components(links)
+            comps = _merged(comps, found)
     classes = same.select(*bag, "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.withColumn("class_id", F.coalesce("comp", "rep"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
