@@ -434,3 +434,44 @@ def test_pipeline(spark, tmp_path):
     want = sorted({*range(40), 40, 41} - {3})
     assert sorted({r["doc_id"] for r in rows}) == want
     check_packing(rows, [texts[i] for i in want])
+
+
+def _joined(*parts):
+    return np.concatenate([np.asarray(p, np.int32) for p in parts])
+
+
+def test_all_passages_of_a_chain():
+    def unlike(sign, n, seed):
+        return sign * np.random.default_rng(seed).integers(1000, 1 << 30, n)
+
+    def both(words, gap):
+        pieces = np.arange(3 * words, dtype=np.int32).reshape(3, words)
+        return (_joined(*(x for i, p in enumerate(pieces) for x in (p, unlike(s, gap, i)))) for s in (1, -1))
+
+    for words, gap in ((60, 100), (200, 300)):
+        a, b = both(words, gap)
+        starts = np.arange(3) * (words + gap)
+        path = np.stack([starts, starts + words, 0 * starts], axis=1)
+        assert chains.align_path(a, b, path) == [(s, s + words, s, s + words, words) for s in starts.tolist()]
+        shifted = np.delete(b, np.arange(words + 5, words + 15))  # ten words fewer in the first gap: several diagonals
+        path[1:, 2] = -10
+        found = chains.align_path(a, shifted, path)
+        assert [(s, e, n) for s, e, _, _, n in found] == [(s, s + words, words) for s in starts.tolist()]
+        assert all(oe - os == words for _, _, os, oe, _ in found)
+    # Gaps of 29 make one best segment of all, below the identity: it is split, into parts that may still bridge one gap.
+    a, b = both(60, 29)
+    found = chains.align_path(a, b, np.array([[0, 60, 0], [89, 149, 0], [178, 238, 0]]))
+    assert len(found) > 1 and all(n >= chains.IDENTITY * (e - s) for s, e, _, _, n in found)
+    assert all(any(s <= w < e for s, e, *_ in found) for p in (0, 89, 178) for w in range(p, p + 60))
+    # 44 words of 50 match, but the best-scoring part alone is shorter than a passage.
+    a = np.arange(50, dtype=np.int32)
+    b = a.copy()
+    b[[1, 3, 5, 44, 46, 48]] = -1
+    assert chains.align_path(a, b, np.array([[6, 44, 0]])) == [(0, 50, 0, 50, 44)]
+
+
+def test_passages_on_either_side_of_unlike_words(spark):
+    first, second = prose(700, 60), prose(701, 60)
+    texts = [" ".join([first, prose(710 + i, 100), second]) for i in range(2)]
+    rows = chains.passages(frame(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["matched"]) for r in rows) == [(1, 0, 60, 60), (1, 160, 220, 60)]
