@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A benchmark item of n words has n - 4 shingles of five words, weighted by how often they occur in it. A document is compared with
-an item through its windows of as many shingles. Windows that share no shingle with the benchmark have similarity 0 and are not
-fingerprinted. All others get a 64-bit SimHash; four 16-bit blocks of it are looked up in tables that hold every item's blocks
-with up to ``RADIUS // 4`` bits changed, which finds all items within ``RADIUS`` bits: among four blocks one differs by no more
-than a quarter. Candidates are verified by exact weighted Jaccard similarity of their shingle multisets.
+an item through its windows of as many shingles. Windows of s shingles and an item of t have similarity 0.8 only if they share
+4/9 (s + t) shingles, so only windows with that many places whose shingle the item holds are verified, by exact weighted Jaccard
+similarity of the shingle multisets. No similar window is left out: a SimHash radius alone can't promise that, as one changed word
+in 50 moves a fingerprint by more than 11 of 64 bits in one case of five. The SimHash distance of the best window is returned;
+``Items.near`` finds all pairs within ``RADIUS`` bits by tables of 16-bit blocks with up to ``RADIUS // 4`` bits changed.
 
 The benchmark is read in blocks of bounded size; each is broadcast and meets all documents, so documents are never shuffled and
 a passage that many documents share costs each of them the same.
@@ -17,6 +18,7 @@ row and item. Repeated rows repeat their results. Equal items each match. Empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -28,9 +30,11 @@ from riskweave.llm.common import ranges, text_slices
 from riskweave.llm.words import mix, multiset, shingle_hashes, word_hashes
 
 WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 11, 4
-#: Most benchmark bytes in one broadcast block; its tables take about 100 times that many bytes for short items.
+#: Most benchmark bytes in one broadcast block.
 BLOCK_BYTES = 2 << 20
 _SLICE = 1 << 18
+#: Most shingles of windows that are verified at once; one window at least.
+_VERIFIED = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
 
@@ -77,7 +81,11 @@ class Items:
         self.prints = np.zeros(len(rows), np.uint64)
         usable = np.flatnonzero(self.words >= WIDTH)
         self.prints[usable] = fingerprints(hashes, at[usable], self.sizes[usable])
-        self.tables = [self._table(usable, b) for b in range(BLOCKS)]
+
+    @cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        usable = np.flatnonzero(self.words >= WIDTH)
+        return [self._table(usable, b) for b in range(BLOCKS)]
 
     def _table(self, usable: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets by block value, items) with every item under all values within the block's share of the radius."""
@@ -119,45 +127,42 @@ def _entry(hashes: np.ndarray, items: np.ndarray) -> np.ndarray:
 
 
 def candidate_windows(hashes: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, shingles, size of the items meant) of all windows that share a shingle with an item of their size."""
+    """(start, shingles, item) of all windows with enough places whose shingle the item holds, a bound on the common shingles."""
     places = np.flatnonzero(items.maybe[hashes >> np.uint64(44)])
     low = np.searchsorted(items.shingles, hashes[places], side="left")
     count = np.searchsorted(items.shingles, hashes[places], side="right") - low
-    place = np.repeat(places, count)
-    size = items.sizes[items.shingle_item[ranges(low, count)]]
-    both = np.unique(place * (1 << 24) + size)
-    place, size = both >> 24, both & ((1 << 24) - 1)
+    place, item = np.repeat(places, count), items.shingle_item[ranges(low, count)]
+    order = np.lexsort((place, item))
+    place, item = place[order], item[order]
     doc = np.searchsorted(offsets, place, side="right") - 1
     first, end = offsets[doc], offsets[doc + 1]
-    short = end - first < size
-    low = np.where(short, first, np.maximum(first, place - size + 1))
-    high = np.where(short, first, np.minimum(place, end - size))
-    n = high - low + 1
-    start, size = ranges(low, n), np.repeat(size, n)
-    real = np.minimum(size, np.repeat(end - first, n))
-    fits = real >= SIMILARITY * size  # a smaller document can't be similar enough
-    key = np.unique(start[fits] * (1 << 24) + size[fits])
-    start, size = key >> 24, key & ((1 << 24) - 1)
-    left = offsets[np.searchsorted(offsets, start, side="right")] - start
-    return start, np.minimum(size, left), size
+    size = np.minimum(items.sizes[item], end - first)  # a document shorter than the item is one window
+    need = np.ceil(SIMILARITY * (size + items.sizes[item]) / (1 + SIMILARITY) - 1e-6).astype(np.int64)
+    last = np.arange(len(place)) + need - 1  # the place that completes a window whose first such place is this
+    inside = np.minimum(last, max(0, len(place) - 1))
+    full = (last < len(place)) & (item[inside] == item) & (place[inside] < end) & (place[inside] - place < size)
+    place, item, first, end, size, reach = place[full], item[full], first[full], end[full], size[full], place[inside[full]]
+    low, high = np.maximum(first, reach - size + 1), np.minimum(place, end - size)
+    same = (item[1:] == item[:-1]) & (first[1:] == first[:-1])
+    low[1:] = np.where(same, np.maximum(low[1:], high[:-1] + 1), low[1:])  # both ends grow, so starts are listed once
+    n = np.maximum(high - low + 1, 0)
+    return ranges(low, n), np.repeat(size, n), np.repeat(item, n)
 
 
 def match_batch(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     """Best window of each (document, item): document, item, similarity, hamming, start word, words."""
     words, word_offsets = word_hashes(data, offsets)
     hashes, at = shingle_hashes(words, word_offsets, WIDTH)
-    start, size, meant = candidate_windows(hashes, at, items)
-    prints = fingerprints(hashes, start, size)
-    window, item = items.near(prints)
-    same = items.sizes[item] == meant[window]
-    window, item = window[same], item[same]
-    common = items.overlap(hashes, start[window], size[window], item)
-    similarity = common / np.maximum(size[window] + items.sizes[item] - common, 1)
+    start, size, item = candidate_windows(hashes, at, items)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _VERIFIED)) + 1
+    parts = [(hashes, s, n, i) for s, n, i in zip(*(np.split(c, cuts) for c in (start, size, item)), strict=True)]
+    common = np.concatenate([items.overlap(*part) for part in parts])
+    similarity = common / np.maximum(size + items.sizes[item] - common, 1)
     good = similarity >= SIMILARITY
-    window, item, similarity = window[good], item[good], similarity[good]
-    doc = np.searchsorted(at, start[window], side="right") - 1
-    found = [(doc, item, similarity, np.bitwise_count(prints[window] ^ items.prints[item]).astype(np.int64),
-              start[window] - at[doc], np.minimum(size[window] + WIDTH - 1, np.diff(word_offsets)[doc]))]
+    start, size, item, similarity = start[good], size[good], item[good], similarity[good]
+    doc = np.searchsorted(at, start, side="right") - 1
+    hamming = np.bitwise_count(fingerprints(hashes, start, size) ^ items.prints[item]).astype(np.int64)
+    found = [(doc, item, similarity, hamming, start - at[doc], np.minimum(size + WIDTH - 1, np.diff(word_offsets)[doc]))]
     for n, (h, short_item) in items.short.items():
         rolled, roll_at = shingle_hashes(words, word_offsets, n)
         for one, which in zip(h, short_item, strict=True):

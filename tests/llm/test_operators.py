@@ -155,6 +155,24 @@ def test_decontamination_equals_brute_force(spark, mixed):
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("words", "changes"), [(50, (25,)), (60, (30,)), (100, (30, 70)), (120, (40, 80))])
+def test_decontamination_finds_changed_inner_words(words, changes):
+    """Similarity 0.80 to 0.85, where fingerprints often differ by more than 11 bits."""
+    items = decontam.Items([(i, prose(2000 + i, words)) for i in range(60)])
+    texts = []
+    for i in range(60):
+        changed = prose(2000 + i, words).split()
+        for place in changes:
+            changed[place] = "zzzzz"
+        texts.append(" ".join([prose(3000 + i, 30), *changed, prose(4000 + i, 30)]).encode())
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    doc, item, similarity, hamming, first, n_words = decontam.match_batch(data, offsets, items)
+    shingles, common = words - 4, words - 4 - 5 * len(changes)
+    assert doc.tolist() == item.tolist() == list(range(60)) and set(first.tolist()) == {30} and set(n_words.tolist()) == {words}
+    assert similarity == pytest.approx(common / (2 * shingles - common)) and 0.8 <= similarity[0] <= 0.85
+    assert (hamming > decontam.RADIUS).any()
+
+
 def test_block_tables_find_all_within_radius():
     items = decontam.Items([(i, prose(i, 30)) for i in range(50)])
     rng = np.random.default_rng(1)
