@@ -57,14 +57,15 @@ def frequent_digests(rows: DataFrame, counters: int = COUNTERS, column: str = "d
     )
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
+def digest_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, digest and a row number of every document, stored once: later passes don't read texts again."""
-    return pin(docs.select("doc_id", text_digest(docs["text"]).alias("digest"), F.monotonically_increasing_id().alias("_row")), "digests")
+    row = F.monotonically_increasing_id() if key is None else F.col(key).cast("long")
+    return pin(docs.select("doc_id", text_digest(docs["text"]).alias("digest"), row.alias("_row")), "digests")
 
 
-def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    rows = digest_rows(docs)
+def exact_groups(docs: DataFrame, counters: int = COUNTERS, key: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row, and ``key``, a column that numbers the rows, if one is named."""
+    rows = digest_rows(docs, key)
     spark = rows.sparkSession
     found = frequent_digests(rows, counters).collect()  # at most counters + 1 rows
     winners = F.broadcast(small_frame(
@@ -79,4 +80,4 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
     return hot.unionByName(rest).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("_row") == F.col("_keep_row")).alias("kept"),
-        F.col("digest").alias("text_sha256"))
+        F.col("digest").alias("text_sha256"), *([] if key is None else [F.col("_row").alias(key)]))

@@ -454,6 +454,29 @@ def test_pipeline(spark, tmp_path):
     check_packing(rows, [texts[i] for i in want])
 
 
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    item, base, null_near = prose(900, 40), prose(901, 200), prose(902, 200)
+    rows = [(i, prose(i)) for i in range(20)]
+    rows += [(3, prose(3)), (3, prose(3)), (None, prose(4)), (None, prose(5)), (5, prose(5))]  # repeated rows, copies without an id
+    rows += [(None, prose(50)), (None, prose(50)), (None, "x " + item)]  # no id at all; contaminated
+    rows += [(30, base), (None, base + " tail"), (31, base + " end"), (None, null_near), (None, null_near + " tail")]  # near copies
+    rows += [(40, prose(60)), (40, "y " + item), (41, prose(61)), (41, prose(61) + " tail")]  # two texts under one id
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.pin(stage(spark, kept, str(tmp_path)))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == len(set(got)) == 20 + 1 + 1 + 1 + 1 + 1
+    fixed = {*((i, prose(i)) for i in range(20)), (None, prose(50)), (30, base), (40, prose(60))}
+    assert fixed <= set(got) and sum(i == 41 for i, _ in got) == 1 and sum(t.startswith(null_near) for _, t in got) == 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).where("start = 0")
+    assert packed.count() == len(got)
+    alone = corpus_pipeline.exact_dedup(spark, docs, str(tmp_path))  # a stage also numbers rows by itself
+    assert alone.count() == len({t for _, t in rows})
+
+
 def _joined(*parts):
     return np.concatenate([np.asarray(p, np.int32) for p in parts])
 
