@@ -477,6 +477,12 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     assert alone.count() == len({t for _, t in rows})
 
 
+def test_pipeline_keeps_text_without_labels(spark, tmp_path):
+    docs = frame(spark, [prose(1), "...", None, prose(2)]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3] and set(docs.columns) <= set(kept.columns)
+
+
 def _joined(*parts):
     return np.concatenate([np.asarray(p, np.int32) for p in parts])
 
