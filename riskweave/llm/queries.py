@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskweave.llm import bagminhash, chains, chat, decontam, exact, kdtree, langid, packing, repair, secrets
+from riskweave.llm import align, bagminhash, bytebpe, chains, chat, decontam, exact, kdtree, langid, merkle, packing, repair, secrets
 from riskweave.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER, PIECE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _query(name: str, oracle: str | None = None):
@@ -106,3 +107,63 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     """Secrets in every whole text."""
     return secrets.span_digest(secrets.scan_secrets(documents(spark, sf_dir)))
+
+
+@_query("op11_merge_asof_alignment")
+def op11(spark, sf_dir):
+    """Overlaps and common borders of two tokenizers' tokens, with corpus-wide counts of the overlaps."""
+    return align.alignment_digest(documents(spark, sf_dir), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
+@_query("op12_backtracking_bpe")
+def op12(spark, sf_dir):
+    """Every whole text encoded by backtracking and decoded by the offset table."""
+    return bytebpe.round_trip_digest(documents(spark, sf_dir), BYTE_TOKENIZER)
+
+
+@_query("op13_merkle_manifest", """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, coalesce('s' || source, '') AS tree, text,
+    coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, code:
+      list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, code)),
+      4294967295) & 1 = 1 AS even -- the last step of crc32 turns all bits around
+  FROM documents
+), leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(t2) || ':' || t2, '-')) AS tampered
+  FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS t2 FROM fields)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes(tree, lvl, idx, digest, n) AS (
+  SELECT tree, 0, idx, leaf, n FROM ranked
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 2) // 3) FROM nodes WHERE n > 1 GROUP BY tree, lvl, idx // 3
+), subroots AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(lvl, idx, digest, n) AS (
+  SELECT 0, idx, subroot, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 2) // 3) FROM tops WHERE n > 1 GROUP BY lvl, idx // 3
+), steps AS (
+  SELECT tree, lvl, idx, n, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT * FROM nodes UNION ALL SELECT NULL, lvl, idx, digest, n FROM tops)
+  WINDOW run AS (PARTITION BY tree, lvl, idx // 3 ORDER BY idx)
+), low(doc_id, tree, leaf, lvl, idx, n, digest, proof) AS (
+  SELECT doc_id, tree, leaf, 0, idx, n, tampered, '' FROM ranked
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.leaf, f.lvl + 1, f.idx // 3, (f.n + 2) // 3, sha256(s.l || f.digest || s.r), f.proof || s.l || s.r
+  FROM low f JOIN steps s ON s.tree = f.tree AND s.lvl = f.lvl AND s.idx = f.idx WHERE f.n > 1
+), high(doc_id, leaf, subroot, lvl, idx, n, digest, proof) AS (
+  SELECT f.doc_id, f.leaf, s.subroot, 0, s.idx, s.n, f.digest, f.proof FROM low f JOIN subroots s ON s.tree = f.tree WHERE f.n = 1
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.subroot, f.lvl + 1, f.idx // 3, (f.n + 2) // 3, sha256(s.l || f.digest || s.r), f.proof || s.l || s.r
+  FROM high f JOIN steps s ON s.tree IS NULL AND s.lvl = f.lvl AND s.idx = f.idx WHERE f.n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, high.digest AS folded_root, high.digest = root AS verified
+FROM high, (SELECT digest AS root FROM tops WHERE n = 1) WHERE n = 1""")
+def op13(spark, sf_dir):
+    """Hash tree of all documents with a checked proof for every row."""
+    return merkle.verified_manifest(documents(spark, sf_dir))
