@@ -17,6 +17,7 @@ repeated rows and null ids give rows of their own. Extra columns are ignored; an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,8 +52,11 @@ class PieceModel:
         sizes = np.array([len(b) for b in spelled], np.int64)
         self.flat, self.offsets = np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, offsets of the texts in them)."""
+        found = self.model.encode(texts, num_threads=1)
+        ends = np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1])), ends
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         starts = self.offsets[ids]
@@ -67,23 +71,49 @@ def _pieces(shared) -> PieceModel:
     return _BUILT[key]
 
 
-def token_frame(ids: list[np.ndarray], offsets: np.ndarray) -> pd.DataFrame:
+def token_frame(ids: np.ndarray, offsets: np.ndarray, spelled: np.ndarray) -> pd.DataFrame:
     """doc, id, start and end of all tokens; documents lie one after the other, so starts ascend over all of them."""
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    ends = np.cumsum(offsets[flat + 1] - offsets[flat])
+    ends = np.cumsum(spelled[ids + 1] - spelled[ids])
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    docs = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    return pd.DataFrame({"doc": docs, "id": flat, "start": starts, "end": ends})
+    return pd.DataFrame({"doc": np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), "id": ids, "start": starts, "end": ends})
+
+
+def spells(ids: np.ndarray, ends: np.ndarray, side, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether the tokens of each document spell its bytes."""
+    sizes = np.concatenate([[0], np.cumsum(side.offsets[ids + 1] - side.offsets[ids])])[ends]
+    same = np.diff(sizes) == np.diff(offsets)
+    if same.all():
+        got, want, length = side.spell(ids), data, np.diff(offsets)
+    else:
+        length = np.diff(offsets)[same]
+        got = side.spell(ids)[ranges(sizes[:-1][same], length)]
+        want = data[ranges(offsets[:-1][same], length)]
+    wrong = np.flatnonzero(got != want)
+    if len(wrong):
+        same[np.flatnonzero(same)[np.searchsorted(np.cumsum(length), wrong, side="right")]] = False
+    return same
+
+
+def with_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space before each that is not empty."""
+    filled = np.diff(offsets) > 0
+    grown = offsets + np.concatenate([[0], np.cumsum(filled)])
+    return np.insert(data, offsets[:-1][filled], 32), grown
+
+
+def only(ids: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the documents that are kept, the others left without."""
+    counts = np.diff(ends) * kept
+    return ids[ranges(ends[:-1], counts)], np.concatenate([[0], np.cumsum(counts)])
 
 
 def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """doc, a, b: the ids of every pair of tokens whose ranges overlap, in order of the later start."""
+    """doc, a, b: the ids of every pair of tokens whose ranges overlap."""
     a_side, b_side = a[["doc", "start", "id"]].rename(columns={"id": "a"}), b[["doc", "start", "id"]].rename(columns={"id": "b"})
     covering_b = pd.merge_asof(a_side, b_side, on="start", by="doc")
     covering_a = pd.merge_asof(b_side, a_side.assign(at=a_side["start"]), on="start", by="doc")
     later = covering_a[covering_a["at"] < covering_a["start"]]  # equal starts are in the other direction already
-    columns = ["doc", "start", "a", "b"]
-    return pd.concat([covering_b[columns], later[columns]]).sort_values("start", kind="stable")[["doc", "a", "b"]]
+    return pd.concat([covering_b[["doc", "a", "b"]], later[["doc", "a", "b"]]])
 
 
 def group_sizes(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,10 +124,6 @@ def group_sizes(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarra
     return docs, sizes[0], sizes[1]
 
 
-def _split(values: np.ndarray, docs: np.ndarray, n: int) -> list[np.ndarray]:
-    return np.split(values, np.searchsorted(docs, np.arange(1, n))) if n else []
-
-
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("chunk", pa.int64()), ("a_ids", pa.list_(pa.int32())), ("b_ids", pa.list_(pa.int32())),
     ("group_a", pa.list_(pa.int32())), ("group_b", pa.list_(pa.int32())), ("links", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())),
@@ -115,45 +141,45 @@ class _Spelling:
     def __init__(self, n: int) -> None:
         self.by_sign = {s: np.array([f"{i}{s}" for i in range(n)], object) for s in ",|;"}
 
-    def text(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3`` of one document."""
-        if not len(group_a):
-            return ""
-        before_a, before_b = np.cumsum(group_a) - group_a, np.cumsum(group_b) - group_b
+    def texts(self, a: pd.DataFrame, b: pd.DataFrame, in_a: np.ndarray, in_b: np.ndarray, docs: np.ndarray, n: int) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each document, from the groups of all."""
+        before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        a, b = a["id"].to_numpy(), b["id"].to_numpy()
         out = np.empty(len(a) + len(b), object)
-        at_a = np.arange(len(a)) + np.repeat(before_b, group_a)
-        at_b = np.arange(len(b)) + np.repeat(before_a + group_a, group_b)
+        at_a, at_b = np.arange(len(a)) + np.repeat(before_b, in_a), np.arange(len(b)) + np.repeat(before_a + in_a, in_b)
         out[at_a], out[at_b] = self.by_sign[","][a], self.by_sign[","][b]
-        last_a, last_b = before_a + group_a - 1, before_b + group_b - 1
+        last_a, last_b = before_a + in_a - 1, before_b + in_b - 1
         out[at_a[last_a]], out[at_b[last_b]] = self.by_sign["|"][a[last_a]], self.by_sign[";"][b[last_b]]
-        return "".join(out)[:-1]
+        ends = np.concatenate([[0], np.cumsum(in_a + in_b)])[np.searchsorted(docs, np.arange(n + 1))].tolist()
+        return ["".join(out[x:y])[:-1] for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def align_chunk(texts: list[str | None], byte_bpe: bytebpe.ByteBpe, pieces: PieceModel, spelling: _Spelling) -> dict[str, list]:
-    """Columns of ``SCHEMA`` for the texts of one chunk, without doc_id and chunk."""
+def align_chunk(texts: list[str], data: np.ndarray, offsets: np.ndarray, byte_bpe: bytebpe.ByteBpe, pieces: PieceModel, spelling: _Spelling) -> list[pa.Array]:
+    """Columns of ``SCHEMA`` from ``a_ids`` on for the texts of one chunk, given as strings and as bytes between offsets."""
     n = len(texts)
-    given = [" " + t if t else "" for t in texts]
-    a_ids = [byte_bpe.encode(g, special=False).astype(np.int64) if g else np.zeros(0, np.int64) for g in given]
-    b_ids = pieces.encode([t or "" for t in texts])
-    for i, text in enumerate(given):
-        raw = text.encode()
-        if not raw or byte_bpe.spell(a_ids[i]).tobytes() != raw or pieces.spell(b_ids[i]).tobytes() != raw:
-            a_ids[i] = b_ids[i] = np.zeros(0, np.int64)
-    a, b = token_frame(a_ids, byte_bpe.offsets), token_frame(b_ids, pieces.offsets)
+    data, offsets = with_space(data, offsets)
+    a_ids, a_ends = byte_bpe.encode_batch(data, offsets, special=False)
+    b_ids, b_ends = pieces.encode(texts)
+    a_ids = a_ids.astype(np.int64)
+    kept = spells(a_ids, a_ends, byte_bpe, data, offsets) & spells(b_ids, b_ends, pieces, data, offsets)
+    (a_ids, a_ends), (b_ids, b_ends) = only(a_ids, a_ends, kept), only(b_ids, b_ends, kept)
+    a, b = token_frame(a_ids, a_ends, byte_bpe.offsets), token_frame(b_ids, b_ends, pieces.offsets)
     docs, in_a, in_b = group_sizes(a, b)
-    group_a, group_b = _split(in_a, docs, n), _split(in_b, docs, n)
+    group_ends = np.searchsorted(docs, np.arange(n + 1))
     linked = links(a, b)
     keys = (linked["a"].to_numpy(np.int64) << B_BITS) + linked["b"].to_numpy(np.int64)
     here, place, times = np.unique(keys, return_inverse=True, return_counts=True)
-    cells, cell_times = np.unique(linked["doc"].to_numpy(np.int64) * max(len(here), 1) + place, return_counts=True)
-    cell_docs = cells // max(len(here), 1)
-    none = [np.zeros(0, np.int64)] * (n - 1)
-    return {
-        "a_ids": a_ids, "b_ids": b_ids, "group_a": group_a, "group_b": group_b,
-        "links": _split(here[cells % max(len(here), 1)], cell_docs, n), "times": _split(cell_times, cell_docs, n),
-        "chunk_links": [here, *none], "chunk_times": [times.astype(np.int64), *none],
-        "alignment": [spelling.text(*row) for row in zip(a_ids, b_ids, group_a, group_b, strict=True)],
-    }
+    width = max(len(here), 1)
+    cells, cell_times = np.unique(linked["doc"].to_numpy(np.int64) * width + place, return_counts=True)
+    cell_ends = np.searchsorted(cells // width, np.arange(n + 1))
+    chunk_ends = np.array([0, *[len(here)] * n])  # all in the first row
+    int32, int64 = pa.int32(), pa.int64()
+    return [
+        list_array(a_ids, a_ends, int32), list_array(b_ids, b_ends, int32), list_array(in_a, group_ends, int32), list_array(in_b, group_ends, int32),
+        list_array(here[cells % width] if len(here) else here, cell_ends, int64), list_array(cell_times, cell_ends, int32),
+        list_array(here, chunk_ends, int64), list_array(times, chunk_ends, int64),
+        pa.array(spelling.texts(a, b, in_a, in_b, docs, n), pa.string()),
+    ]
 
 
 def align_documents(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -172,14 +198,11 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str) -> DataFra
         spelling = _Spelling(max(len(byte_bpe.offsets), len(pieces.offsets)))
         chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, end, _, _ in text_slices(batch, "text", CHUNK):
-                part = batch.slice(first, end - first)
-                columns = align_chunk(part.column(1).to_pylist(), byte_bpe, pieces, spelling)
-                arrays = [part.column(0), pa.array(np.full(len(part), chunk), pa.int64())]
-                for field in list(SCHEMA)[2:]:
-                    value = columns[field.name]
-                    arrays.append(pa.array(value, pa.string()) if field.name == "alignment" else list_array(value, field.type.value_type))
-                yield pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
+            for first, end, data, offsets in text_slices(batch, "text", CHUNK):
+                texts = [t or "" for t in batch.column(1).slice(first, end - first).to_pylist()]
+                columns = align_chunk(texts, data, offsets, byte_bpe, pieces, spelling)
+                named = [batch.column(0).slice(first, end - first), pa.array(np.full(len(texts), chunk), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*named, *columns], schema=SCHEMA)
                 chunk += 1
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DDL)

@@ -7,21 +7,21 @@ over the piece lists them) and is compatible with the token before it, falls bac
 and steps back where none is left. A position that failed once is closed for good, which keeps the walk linear.
 
 Two tokens are compatible if undoing their merges, the later merge first, never meets a pair across the border that would have
-been merged earlier. Answers are kept in a table of pairs; pieces met before are found in a cache. Both are bounded and start anew
-when full.
+been merged earlier. Answers are kept in a table of pairs. Texts are cut into pieces in numpy, many texts at once; a piece met before
+is found in a table by its hash and checked byte by byte. Both tables are bounded and start anew when full.
 
-Texts are cut into pieces by the tokenizer's own expression. Its library and ours may know different versions of Unicode, so a
-text with a character that Python's tables don't know is cut by the library itself. Special tokens are matched first unless their
-strings are to be read as plain text. A null text is empty and has no ids; rows are independent, so ties and repeated rows are too.
+Pieces are those of the tokenizer's own expression. Its library and ours may know different versions of Unicode, so a text with a
+character that Python's tables don't know is cut by the library itself. Special tokens are matched first unless their strings are to
+be read as plain text. A null text is empty and has no ids; rows are independent, so ties and repeated rows are too.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -32,17 +32,101 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskweave.llm.common import ranges, text_slices
+from riskweave.llm.words import span_hashes
 
-#: Most entries of the two tables of a worker. Pieces longer than ``CACHED_CHARS`` are never kept.
-PAIRS, PIECES, CACHED_CHARS = 1 << 20, 1 << 18, 64
-#: Text bytes encoded, and ids decoded, at a time; pieces of one text that are held at once.
-SLICE, DECODE_IDS, RUN = 1 << 20, 1 << 18, 1 << 16
+#: Most entries of a worker's tables of pairs and pieces; longer pieces than ``KEPT_BYTES`` are encoded each time.
+PAIRS, PIECES, KEPT_BYTES = 1 << 20, 1 << 20, 64
+#: Text bytes encoded, and ids decoded, at a time.
+SLICE, DECODE_IDS = 1 << 20, 1 << 18
 #: Fixed by the tokenizer's format: how its ByteLevel step cuts a text, and the code points that stand for bytes.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 _BUILT: dict[int, ByteBpe] = {}
+#: Kinds of characters, and the letters of contractions.
+OTHER, LETTER, NUMBER, WHITE, UNKNOWN = range(5)
+_SHORT, _LONG = [ord(c) for c in "stmd"], [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
+
+
+def character_kinds() -> np.ndarray:
+    """The kind of every code point."""
+    everything = "".join(map(chr, range(sys.maxunicode + 1)))
+    kinds = np.zeros(len(everything), np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        for run in regex.finditer(pattern, everything):
+            kinds[run.start():run.end()] = kind
+    kinds[np.fromiter((unicodedata.category(c) == "Cn" for c in everything), bool)] = UNKNOWN
+    return kinds
+
+
+def piece_starts(points: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each character; ``starts`` are the first characters of the texts.
+
+    Runs of one kind are pieces. A run of white space gives its last character to the run after it: a space joins that run, any
+    other stays a piece of its own. A sign ``'`` that begins a piece takes the letters of a contraction with it.
+    """
+    n = len(points)
+    begins = np.ones(n + 1, bool)
+    begins[1:n] = kinds[1:] != kinds[:-1]
+    ends_text = np.zeros(n + 1, bool)
+    ends_text[starts[starts <= n]] = True
+    ends_text[n] = True
+    begins |= ends_text
+    last_white = np.flatnonzero((kinds == WHITE) & begins[1:] & ~ends_text[1:])
+    begins[last_white] = True
+    begins[last_white[points[last_white] == 32] + 1] = False
+    quotes = np.flatnonzero((points == 39) & begins[:n])
+    quotes = quotes[~ends_text[quotes + 1]]
+    one = quotes[np.isin(points[quotes + 1], _SHORT)]
+    two = quotes[quotes + 2 < n]
+    two = two[~ends_text[two + 2]]
+    two = two[np.logical_or.reduce([(points[two + 1] == a) & (points[two + 2] == b) for a, b in _LONG])]
+    for at, width in ((one, 1), (two, 2)):
+        begins[at + 1] = False
+        begins[at + 1 + width] = True
+    return begins[:n]
+
+
+class PieceTable:
+    """Ids of pieces by the hash of their bytes. The bytes are kept and compared, so equal hashes do no harm."""
+
+    def __init__(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.data, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
+        self._offsets()
+
+    def _offsets(self) -> None:
+        self.at, self.first = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.counts) - self.counts
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it is unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        where = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[where] == keys, self.places[where], -1)
+
+    def add(self, keys: np.ndarray, pieces: list[bytes], ids: list[list[int]]) -> None:
+        """New keys in ascending order with their pieces."""
+        at = np.searchsorted(self.keys, keys)
+        self.places = np.insert(self.places, at, np.arange(len(self.sizes), len(self.sizes) + len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
+        self.sizes = np.concatenate([self.sizes, np.array([len(p) for p in pieces], np.int64)])
+        self.counts = np.concatenate([self.counts, np.array([len(i) for i in ids], np.int64)])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.array([i for own in ids for i in own], np.int32)])
+        self._offsets()
+
+    def holds(self, places: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the pieces at these places are those of the data."""
+        same = self.sizes[places] == sizes
+        checked = np.flatnonzero(same)
+        sizes = sizes[checked]
+        wrong = self.data[ranges(self.at[places[checked]], sizes)] != data[ranges(starts[checked], sizes)]
+        if wrong.any():
+            same[checked[np.searchsorted(np.cumsum(sizes), np.flatnonzero(wrong), side="right")]] = False
+        return same
 
 
 class ByteBpe:
@@ -70,9 +154,8 @@ class ByteBpe:
         self.flat, self.offsets = np.frombuffer(b"".join(self.token_bytes), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
         self.pattern = regex.compile(PIECE)
         self.cutter = Tokenizer.from_str(tokenizer_json).pre_tokenizer
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, list[int]] = {}
-        self.assigned: set[str] = set()
+        self.pairs: dict[int, bool] = {}
+        self.kinds, self.table = character_kinds(), PieceTable()
 
     def _merges(self, vocab: dict[str, int], merges: list) -> None:
         """Rank and parts of every token; single bytes have rank -1 and are their own parts."""
@@ -106,11 +189,12 @@ class ByteBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """True if merging the bytes of both in rank order ends in these two tokens."""
-        known = self.pairs.get((a, b))
+        key = a * len(self.size) + b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._stays_apart(a, b)
+            known = self.pairs[key] = self._stays_apart(a, b)
         return known
 
     def _stays_apart(self, a: int, b: int) -> bool:
@@ -133,65 +217,84 @@ class ByteBpe:
                 used_b, b = rank[b], self.left[b]
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        size, shorter, pairs, width = self.size, self.shorter, self.pairs, len(self.size)
         n = len(piece)
-        longest = [-1] * (n + 1)
+        longest = [-1] * n
         for end, i in self.automaton.iter(piece.decode("latin-1")):  # ends ascend: the last match of a start is its longest
-            longest[end + 1 - self.size[i]] = i
+            longest[end + 1 - size[i]] = i
         tokens: list[int] = []
-        fits, at, token = bytearray(b"\x01") * (n + 1), 0, longest[0]
+        closed: set[int] = set()
+        before, at, token = -1, 0, longest[0] if n else -1
         while at < n:
-            before = tokens[-1] if tokens else -1
-            while token >= 0:
-                end = at + self.size[token]
-                if fits[end] and (before < 0 or self.compatible(before, token)):
+            end = at + size[token]
+            if end not in closed:
+                fits = before < 0 or pairs.get(before * width + token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if fits:
                     tokens.append(token)
-                    at, token = end, longest[end]
-                    break
-                token = self.shorter[token]
-            else:
-                fits[at] = 0
+                    if end < n:
+                        before, token = token, longest[end]
+                    at = end
+                    continue
+            token = shorter[token]
+            if token < 0:  # nothing fits here: the token before ends here no more
+                closed.add(at)
                 token = tokens.pop()
-                at -= self.size[token]
+                at -= size[token]
+                before = tokens[-1] if tokens else -1
         return tokens
 
-    def _known(self, piece: str) -> list[int]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = self.encode_piece(piece.encode())
-            if len(piece) <= CACHED_CHARS:
-                if len(self.cache) >= PIECES:
-                    self.cache.clear()
-                self.cache[piece] = ids
-        return ids
-
-    def _assigned(self, text: str) -> bool:
-        """True if Python's Unicode tables know all characters; those seen are remembered, at most all of Unicode."""
-        new = set(text) - self.assigned
-        if any(unicodedata.category(c) == "Cn" for c in new):
-            return False
-        self.assigned |= new
-        return True
-
-    def _pieces(self, text: str) -> Iterator[str]:
-        if text.isascii() or self._assigned(text):
-            return (m.group() for m in self.pattern.finditer(text)) if len(text) > RUN else iter(self.pattern.findall(text))
-        return (text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text))
-
-    def _plain(self, text: str) -> np.ndarray:
-        found, pieces = [], self._pieces(text)
-        while run := list(islice(pieces, RUN)):
-            found.append(np.fromiter(chain.from_iterable(map(self._known, run)), np.int32))
-        return np.concatenate(found) if found else np.zeros(0, np.int32)
-
     def encode(self, text: str, special: bool = True) -> np.ndarray:
-        """Ids of a text; with ``special`` false the strings of special tokens are plain text."""
-        if not special or not self.special_pattern.search(text):
-            return self._plain(text)
+        """Ids of one text, piece by piece; with ``special`` false the strings of special tokens are plain text."""
+        known = (self.kinds[np.frombuffer(text.encode("utf-32-le"), np.uint32)] != UNKNOWN).all()
         parts, at = [], 0
-        for m in self.special_pattern.finditer(text):
-            parts += [self._plain(text[at:m.start()]), np.array([self.special[m.group()]], np.int32)]
-            at = m.end()
-        return np.concatenate([*parts, self._plain(text[at:])])
+        found = self.special_pattern.finditer(text) if special else []
+        for start, end, own in [*((m.start(), m.end(), [self.special[m.group()]]) for m in found), (len(text), len(text), [])]:
+            plain = text[at:start]
+            pieces = self.pattern.findall(plain) if known else [plain[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(plain)]
+            parts += [i for p in pieces for i in self.encode_piece(p.encode())] + own
+            at = end
+        return np.array(parts, np.int32)
+
+    def encode_batch(self, data: np.ndarray, offsets: np.ndarray, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, offsets of the texts in them); the texts are the bytes between the offsets."""
+        raw = data.tobytes()
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        kinds = self.kinds[points]
+        if (special and any(s.encode() in raw for s in self.special)) or (kinds == UNKNOWN).any():
+            texts = [self.encode(raw[a:b].decode(), special) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate([np.zeros(0, np.int32), *texts]), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of the characters
+        starts = at[piece_starts(points, kinds, np.searchsorted(at, offsets))]
+        sizes = np.diff(np.append(starts, len(data)))
+        places, extra = self._places(raw, data, starts, sizes)
+        counts = np.concatenate([self.table.counts, [len(e) for e in extra]]).astype(np.int64)
+        flat = np.concatenate([self.table.ids, *extra]) if extra else self.table.ids
+        first = np.concatenate([self.table.first, len(self.table.ids) + np.cumsum(counts[len(self.table.counts):]) - counts[len(self.table.counts):]])
+        lengths = counts[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return flat[ranges(first[places], lengths)], ends[np.searchsorted(starts, offsets)]
+
+    def _places(self, raw: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Place of every piece in the table; pieces the table does not keep are placed after it, their ids in the list."""
+        keys, first, again = np.unique(span_hashes(data, starts, starts + sizes), return_index=True, return_inverse=True)
+        places = self.table.find(keys)
+        new = np.flatnonzero((places < 0) & (sizes[first] <= KEPT_BYTES))
+        if len(new) + len(self.table.keys) > PIECES:
+            self.table = PieceTable()
+            places[:] = -1
+            new = np.flatnonzero(sizes[first] <= KEPT_BYTES)[:PIECES]
+        if len(new):
+            pieces = [raw[a:a + n] for a, n in zip(starts[first[new]].tolist(), sizes[first[new]].tolist(), strict=True)]
+            places[new] = np.arange(len(self.table.sizes), len(self.table.sizes) + len(new))
+            self.table.add(keys[new], pieces, [self.encode_piece(p) for p in pieces])
+        every = places[again]
+        kept = np.flatnonzero(every >= 0)
+        every[kept[~self.table.holds(every[kept], data, starts[kept], sizes[kept])]] = -1
+        direct = np.flatnonzero(every < 0)
+        every[direct] = len(self.table.sizes) + np.arange(len(direct))
+        return every, [np.array(self.encode_piece(raw[starts[i]:starts[i] + sizes[i]]), np.int32) for i in direct]
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the tokens one after the other."""
@@ -214,11 +317,9 @@ def tables(shared) -> ByteBpe:
     return _BUILT[key]
 
 
-def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    """A list column of one array a row."""
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+def list_array(flat: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list column: the values between the offsets, row by row."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(flat, kind))
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, special: bool = True) -> DataFrame:
@@ -228,10 +329,9 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, special: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(shared)
         for batch in batches:
-            for first, end, _, _ in text_slices(batch, "text", SLICE):
-                part = batch.slice(first, end - first)
-                ids = [bpe.encode(t or "", special) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids, pa.int32())], ["doc_id", "ids"])
+            for first, end, data, offsets in text_slices(batch, "text", SLICE):
+                ids, ends = bpe.encode_batch(data, offsets, special)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), list_array(ids, ends, pa.int32())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -244,7 +344,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> Dat
         bpe = tables(shared)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0)))
+            ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))
             first = 0
             while first < len(batch):
                 stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + DECODE_IDS, side="right")))
