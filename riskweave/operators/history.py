@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from riskweave import domains as d
 from riskweave.functions import scalar as p
 from riskweave.operators.ordered import (
-    HotGroups, Running, exact_quantiles, find_hot, first_occurrence, running, split_hot,
+    HotGroups, Running, exact_quantiles, find_hot, first_occurrence, group_rank, lookup_join, running, split_hot,
 )
+from riskweave.session import pin
 
 HOUR_MICROS = 3_600_000_000
 
@@ -175,14 +176,16 @@ def gap_seconds(before: Column, after: Column) -> Column:
 
 def trailing_hour(
     df: DataFrame, key: str, ts: str, tiebreak: str, row_id: str, amount: str | None = None,
-    hot: HotGroups | None = None,
+    hot: HotGroups | None = None, sequence: bool = False,
 ) -> DataFrame:
     """Earlier events of the key in the trailing hour, and their amount with the current one.
 
-    Both ends of the hour are inclusive. Order is (ts, tiebreak), so events at the same instant count
-    only when they come earlier in the tiebreak. Ordinary keys use a range frame. Rows of large keys
-    are compared as prefix totals: everything before the row, less everything that is more than an
-    hour older, where the older total is read at a probe row placed one hour back.
+    Both ends of the hour are inclusive. Order is (ts, tiebreak, row_id), so events at the same instant count only when they come
+    earlier in the tiebreak. With ``sequence`` the tiebreak is the sequence of the key and decides alone what is earlier: an event
+    that comes later in it never counts, whatever its time. Ordinary keys use a range frame. Rows of large keys are compared as
+    prefix totals: everything before the row, less everything that is more than an hour older, where the older total is read at a
+    probe row placed one hour back. Keys whose time runs against the sequence are counted by ``_earlier_within_hour``. Events
+    without a time count nowhere and see only themselves.
     """
     # Decimals: a difference of prefix totals is then the same number as the sum of the frame.
     zero = F.lit(0).cast("decimal(28,6)")
@@ -191,22 +194,74 @@ def trailing_hour(
     hot = hot or find_hot(df, [key])
     cold, heavy = split_hot(base, hot)
 
-    by_time = Window.partitionBy(key).orderBy("_us", tiebreak)
+    by_time = Window.partitionBy(key).orderBy("_us", tiebreak, row_id)
     older = Window.partitionBy(key).orderBy("_us").rangeBetween(Window.unboundedPreceding, -HOUR_MICROS - 1)
     hour = Window.partitionBy(key).orderBy("_us").rangeBetween(-HOUR_MICROS, Window.currentRow)
-    peers = Window.partitionBy(key, "_us").orderBy(tiebreak).rowsBetween(1, Window.unboundedFollowing)
+    peers = Window.partitionBy(key, "_us").orderBy(tiebreak, row_id).rowsBetween(1, Window.unboundedFollowing)
     count = F.row_number().over(by_time) - 1 - F.count(F.lit(1)).over(older)
     value = F.sum("_m").over(hour) - F.coalesce(F.sum("_m").over(peers), zero)
     out = cold.withColumns({"events_last_hour": count.cast("long"), "value_sum_last_hour": value})
     if heavy is not None:
         out = out.unionByName(_trailing_hour_segmented(heavy, key, tiebreak, row_id))
     timed = F.col("_us").isNotNull()  # without a time nothing is in the hour but the row itself
+    backward = _keys_running_back(base, key, tiebreak, row_id, hot) if sequence else None
+    if backward is not None:
+        exact = _earlier_within_hour(lookup_join(base, backward, key, hot=hot), key, tiebreak, row_id)
+        out = out.join(exact, F.col(row_id) == F.col("_row"), "left").withColumns({
+            "events_last_hour": F.coalesce("_earlier_n", "events_last_hour"),
+            "value_sum_last_hour": F.coalesce(F.col("_earlier_m") + F.col("_m"), F.col("value_sum_last_hour"))})
     result = out.select(
         *df.columns, F.when(timed, F.col("events_last_hour")).otherwise(F.lit(0).cast("long")).alias("events_last_hour"),
         F.round(F.when(timed, F.col("value_sum_last_hour")).otherwise(F.col("_m")).cast("double"), 2).alias("value_sum_last_hour_inr"))
     return result if amount else result.drop("value_sum_last_hour_inr")
 
 
+def _keys_running_back(base: DataFrame, key: str, tiebreak: str, row_id: str, hot: HotGroups) -> DataFrame | None:
+    """Keys with an event that is older than one before it in the sequence; None if there are none."""
+    timed = base.where("_us IS NOT NULL").select(key, row_id, "_us", F.col(tiebreak).alias("_tie"))
+    walked = running(timed, [key], ["_tie", row_id], {"_latest": Running("max", F.col("_us"), current=False)}, hot=hot)
+    found = pin(walked.where("_latest > _us").select(key).distinct(), "backward-keys")
+    return None if found.isEmpty() else found
+
+
+def _earlier_within_hour(rows: DataFrame, key: str, tiebreak: str, row_id: str) -> DataFrame:
+    """Row id with the number and amount of events that come earlier in the sequence and lie in the trailing hour.
+
+    Two orders at once, solved like a merge sort. Events are put into groups of their hour and the next one, so a group holds all
+    that an event of its hour can see, and numbered there by sequence. Two numbers first differ at one bit: at that level the
+    smaller lies in the left half of a block and the larger in the right. So at each level every event of a right half counts
+    the events of its left half by time alone, as a difference of prefix totals at the event and at a probe an hour back.
+    A group larger than a task should hold is numbered and summed in segments.
+    """
+    hour = F.floor(F.col("_us") / HOUR_MICROS).cast("long")
+    zero = F.lit(0).cast("decimal(28,6)")
+    timed = rows.where("_us IS NOT NULL").select(
+        F.col(row_id).alias("_row"), "_us", "_m", F.col(tiebreak).alias("_tie"), F.col(key).cast("string").alias("_key"), hour.alias("_hour"))
+    copies = F.explode(F.array(F.struct(F.col("_hour").alias("at"), F.lit(True).alias("asks")), F.struct((F.col("_hour") + 1).alias("at"), F.lit(False).alias("asks"))))
+    spread = timed.withColumn("_c", copies).select(
+        "_row", "_us", "_m", "_tie", "_c.asks", F.concat("_key", F.lit("|"), F.col("_c.at").cast("string")).alias("_group"))
+    numbered = pin(group_rank(spread, ["_group"], ["_tie", "_row"], "_n").withColumn("_n", F.col("_n") - 1), "numbered")
+    last = numbered.groupBy("_group").agg(F.max("_n").alias("_last"))
+    sized = lookup_join(numbered, last, "_group")
+    # The left half of level k counts if its right half begins within the group; right halves count for rows that ask.
+    levels = F.expr(
+        "filter(sequence(0, length(bin(_last)) - 1), k -> if((shiftright(_n, k) & 1) = 1, asks, ((shiftright(_n, k) | 1) * shiftleft(1L, k)) <= _last))")
+    dealt = sized.select("_row", "_us", "_m", "_group", "_n", F.explode(levels).alias("_level")).select(
+        "_row", "_us", "_m", "_group", "_level", F.expr("shiftright(_n, _level + 1)").alias("_block"),
+        (F.expr("shiftright(_n, _level) & 1") == 1).alias("_right"))
+    left = dealt.where("NOT _right").select("_row", "_us", "_m", "_group", "_level", "_block", F.lit(1).alias("_kind"), F.lit(1).cast("long").alias("_one"))
+    asked = dealt.where("_right").withColumn("_m", zero).withColumn("_one", F.lit(0).cast("long"))
+    # At one instant: probes see what is strictly older, events what is as old.
+    here = asked.withColumn("_kind", F.lit(2)).select(left.columns)
+    probe = asked.withColumn("_kind", F.lit(0)).withColumn("_us", F.col("_us") - HOUR_MICROS).select(left.columns)
+    walked = running(left.unionByName(here).unionByName(probe), ["_group", "_level", "_block"], ["_us", "_kind", "_row"], {
+        "_count": Running("sum", F.col("_one")), "_sum": Running("sum", F.col("_m"))}).where("_kind <> 1")
+    sign = F.when(F.col("_kind") == 2, 1).otherwise(-1)
+    seen = walked.groupBy("_row").agg(F.sum(F.col("_count") * sign).alias("_earlier_n"), F.sum(F.col("_sum") * sign).cast("decimal(28,6)").alias("_earlier_m"))
+    # The first event of a group asks nothing, and yet has no earlier one.
+    return timed.select("_row").join(seen, "_row", "left").select("_row", F.coalesce("_earlier_n", F.lit(0)).alias("_earlier_n"), F.coalesce("_earlier_m", zero).alias("_earlier_m"))
+
+
 def _trailing_hour_segmented(heavy: DataFrame, key: str, tiebreak: str, row_id: str) -> DataFrame:
     narrow = heavy.select(key, row_id, "_us", F.col(tiebreak).alias("_tie"), "_m")
     events = narrow.select("*", F.lit(1).alias("_kind"), F.lit(1).alias("_one"))
@@ -305,7 +360,7 @@ def chain_feature_frame(df: DataFrame, ts: str = "occurred_at", keep: Sequence[s
     walked = running(base, ["_chain"], order, {
         "prior_event_count": Running("count", current=False), "_prev": Running("lag", F.col("_ts")),
     }, hot=hot)
-    hourly = trailing_hour(walked, "_chain", "_ts", "_seq", "event_id", "_amount", hot=hot)
+    hourly = trailing_hour(walked, "_chain", "_ts", "_seq", "event_id", "_amount", hot=hot, sequence=True)
     full = distinct_prior(hourly, "_chain", DISTINCT_FIELDS, order, "event_id", hot=hot, placed=True)
     hour, weekday = p.calendar_parts(F.col("_ts"))
     full = full.withColumns({

@@ -77,6 +77,19 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | Non
     return df.join(small, cond, "left_anti"), df.join(small, cond, "left_semi")
 
 
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: HotGroups | None = None) -> DataFrame:
+    """Join rows with a table of one row per key.
+
+    Rows of keys above ``hotGroupRows`` meet their table rows by broadcast. There are at most rows / hotGroupRows such keys.
+    """
+    hot = hot or find_hot(rows, [key])
+    if hot.frame is None:
+        return rows.join(table, key, how)
+    cold, heavy = split_hot(rows, hot)
+    few = table.join(F.broadcast(hot.frame), table[key] == hot.frame[f"_h_{key}"], "left_semi")
+    return cold.join(table, key, how).unionByName(heavy.join(F.broadcast(few), key, how))
+
+
 def _windowed(aggs: Mapping[str, Running], window) -> list[Column]:
     out = []
     frames = {

@@ -287,6 +287,7 @@ def lifecycle_scorecard(events: DataFrame, turns: DataFrame, truth: DataFrame, p
     return full.select(
         "round_id", "phase", "phase_index", status.alias("status"),
         F.coalesce("event_count", F.lit(0)).alias("event_count"), F.coalesce("evaluated_event_count", F.lit(0)).alias("evaluated_event_count"),
+        F.when(F.col("event_count").isNotNull(), rounded(F.coalesce("evaluated_event_count", F.lit(0)) / F.col("event_count"), 4)).alias("evaluation_coverage"),
         "first_actionable_event",
         when_reached(rounded(score, 2)).alias("phase_score"), when_reached(alerted).alias("opportunity_detected"),
         when_reached(F.when(alerted, delay)).alias("response_time_seconds"), when_reached(rounded(response, 4)).alias("response_score"),
@@ -295,6 +296,7 @@ def lifecycle_scorecard(events: DataFrame, turns: DataFrame, truth: DataFrame, p
         when_reached(rounded(stealth, 4)).alias("red_stealth_ratio"), when_reached(escape).alias("transition_escape_rate"),
         when_reached(rounded(F.least(F.lit(1.0), ratio(F.col("_cited"), F.col("_packets"))), 4)).alias("evidence_citation_rate"),
         when_reached(comparisons).alias("legitimate_comparison_count"),
+        when_reached(F.coalesce("phase_matched_control_event_count", F.lit(0))).alias("phase_matched_control_event_count"),
         when_reached(detected).alias("true_positives"), when_reached(fp).alias("false_positives"),
         when_reached(1 - detected).alias("false_negatives"), when_reached(comparisons - fp).alias("true_negatives"),
         when_reached(rounded(precision, 4)).alias("precision"), when_reached(detected.cast("double")).alias("recall"), when_reached(rounded(f1, 4)).alias("f1"),

@@ -432,7 +432,25 @@ _HOUR = (
 @query("W7_W8_trailing_hour", with_views(_HOUR, "case_events"))
 def _(t: Tables):
     rows = t("case_events").select("event_id", "case_id", "sequence", "event_ts", "amount_inr")
-    out = h.trailing_hour(rows, "case_id", "event_ts", "sequence", "event_id", "amount_inr")
+    out = h.trailing_hour(rows, "case_id", "event_ts", "sequence", "event_id", "amount_inr", sequence=True)
+    return out.select("event_id", "events_last_hour", "value_sum_last_hour_inr")
+
+
+# A few long chains whose sequence is not their time order, with ties and missing times.
+_BACKWARD = (
+    "SELECT event_id, sender_account_id % 7 AS chain, (event_id * 7919) % 1009 AS sequence, amount_inr, "
+    "CASE WHEN k % 13 <> 0 THEN date_trunc('minute', event_ts) END AS event_ts FROM {pay_events}"
+)
+
+
+@query("W7_W8_by_sequence", with_views(
+    "SELECT c.event_id, count(p.event_id) AS events_last_hour, CAST(round(coalesce(sum(CAST(p.amount_inr AS DECIMAL(28, 6))), 0) + "
+    "coalesce(any_value(CAST(c.amount_inr AS DECIMAL(28, 6))), 0), 2) AS DOUBLE) AS value_sum_last_hour_inr FROM backward c LEFT JOIN backward p ON p.chain = c.chain "
+    "AND (p.sequence, p.event_id) < (c.sequence, c.event_id) AND epoch_us(c.event_ts) - epoch_us(p.event_ts) BETWEEN 0 AND 3600000000 GROUP BY 1",
+    "pay_events", backward=_BACKWARD.format(pay_events="pay_events")))
+def _(t: Tables):
+    rows = t.spark.sql(_BACKWARD, pay_events=t("pay_events"))
+    out = h.trailing_hour(rows, "chain", "event_ts", "sequence", "event_id", "amount_inr", sequence=True)
     return out.select("event_id", "events_last_hour", "value_sum_last_hour_inr")
 
 

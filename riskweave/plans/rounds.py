@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import domains as d
@@ -12,26 +13,38 @@ from riskweave.operators import policy as g
 from riskweave.operators import quality as q
 from riskweave.operators import rollups as r
 from riskweave.operators import scoring as c
+from riskweave.operators.ordered import global_rank
 from riskweave.plans import gates
 from riskweave.plans.features import _VECTORS, vectors
 from riskweave.plans.registry import Tables, query
 from riskweave.plans.views import with_views
 from riskweave.session import pin
 
-# One round per sender: its first case with fraud is the attack, clean cases are controls or ambient traffic.
+# One round per case with fraud, numbered in case order. Clean cases are controls or ambient traffic, dealt to the rounds in turn.
 _ROLES = (
-    "SELECT case_id, sender_account_id AS round_id, CASE WHEN case_id = ff THEN 'attack' WHEN NOT fraud AND n % 2 = 1 THEN 'control' WHEN NOT fraud THEN 'ambient' END AS role FROM ("
-    "SELECT case_id, sender_account_id, bool_or(label_fraud) AS fraud, count(*) AS n FROM {case_events} GROUP BY case_id, sender_account_id) a "
-    "LEFT JOIN (SELECT sender_account_id AS s, min(case_id) AS ff FROM {case_events} WHERE label_fraud GROUP BY sender_account_id) b ON s = sender_account_id"
+    "SELECT case_id, CASE WHEN fraud THEN place ELSE 1 + (place - 1) % greatest(1, sum(CAST(fraud AS INT)) OVER ()) END AS round_id, CASE WHEN fraud THEN 'attack' WHEN n % 2 = 1 THEN 'control' ELSE 'ambient' END AS role FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY fraud ORDER BY case_id) AS place FROM (SELECT case_id, bool_or(label_fraud) AS fraud, count(*) AS n FROM case_events GROUP BY case_id) a) b"
 )
 _EVENTS = (
-    "SELECT e.event_id, e.case_id, e.sequence, e.event_type, e.lifecycle_phase, e.k, e.attack_family, r.round_id, r.role FROM {case_events} e JOIN {roles} r ON r.case_id = e.case_id WHERE r.role IS NOT NULL"
+    "SELECT e.event_id, e.case_id, e.sequence, e.event_type, e.lifecycle_phase, e.k, e.attack_family, CAST(r.round_id AS BIGINT) AS round_id, r.role FROM {case_events} e JOIN {roles} r ON r.case_id = e.case_id"
 )
+
+
+def roles(cases: DataFrame) -> DataFrame:
+    """case_id, round_id and role of every case."""
+    known = pin(cases.groupBy("case_id").agg(F.bool_or("label_fraud").alias("fraud"), F.count(F.lit(1)).alias("n")), "cases")
+    attacks = known.where("fraud").count()
+    attack = global_rank(known.where("fraud"), ["case_id"], "round_id").withColumn("role", F.lit("attack"))
+    clean = global_rank(known.where("NOT fraud"), ["case_id"], "place").withColumns({
+        "round_id": 1 + (F.col("place") - 1) % max(1, attacks), "role": F.when(F.col("n") % 2 == 1, "control").otherwise("ambient")})
+    return attack.select("case_id", "round_id", "role").unionByName(clean.select("case_id", "round_id", "role"))
+
+
 _REASONS_SQL = (
     "CASE k % 4 WHEN 0 THEN ['profile_change', 'device_novelty'] WHEN 1 THEN ['behavior_sequence', 'velocity', 'insufficient_evidence'] WHEN 2 THEN ['amount_anomaly'] ELSE ['cross_phase_pattern', 'graph_concentration'] END"
 )
 _BASE = {
-    "roles": _ROLES.format(case_events="case_events"),
+    "roles": _ROLES,
     "rev": _EVENTS.format(case_events="case_events", roles="roles"),
     "turns": "SELECT e.*, d.action, d.has_legitimate_context FROM rev e JOIN (SELECT *, coalesce(bool_or(action = 'block') OVER (PARTITION BY case_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped "
              "FROM decisions) d ON d.event_id = e.event_id WHERE NOT stopped",
@@ -73,8 +86,7 @@ class Rounds:
     @cached_property
     def events(self):
         cases = self._t("case_events")
-        roles = self._t.spark.sql(_ROLES, case_events=cases)
-        return pin(self._t.spark.sql(_EVENTS, case_events=cases, roles=roles), "events")
+        return pin(self._t.spark.sql(_EVENTS, case_events=cases, roles=roles(cases)), "events")
 
     @cached_property
     def truth(self):
@@ -172,10 +184,10 @@ _C9 = {
     "fa": "SELECT round_id, lifecycle_phase AS phase, count(*) AS n, min(CASE WHEN action IN ('step_up', 'hold', 'block') THEN sequence END) AS fa, sum(k % 3) AS cited, sum(1 + k % 3) AS pk, "
           + ", ".join(f"count(*) FILTER (WHERE action = '{a}') AS n_{a}" for a in d.ACTIONS) + " FROM turns WHERE role = 'attack' GROUP BY 1, 2",
     "ix": "SELECT t.round_id, t.lifecycle_phase AS phase, count(*) FILTER (WHERE t.sequence < fa) AS ai, max(CASE WHEN t.sequence = fa THEN offset_seconds END) AS ao FROM tt t JOIN fa ON fa.round_id = t.round_id AND fa.phase = t.lifecycle_phase WHERE t.role = 'attack' GROUP BY 1, 2",
-    "cc9": "SELECT round_id, phase, count(*) AS lc, avg(cost) AS ac, count(*) FILTER (WHERE al) AS fp FROM (SELECT round_id, case_id, lifecycle_phase AS phase, max(CASE action WHEN 'allow' THEN 0e0 WHEN 'monitor' THEN 3e-2 WHEN 'step_up' THEN 25e-2 WHEN 'hold' THEN 70e-2 ELSE 1e0 END) AS cost, "
+    "cc9": "SELECT round_id, phase, count(*) AS lc, avg(cost) AS ac, count(*) FILTER (WHERE al) AS fp, sum(ne) AS pn FROM (SELECT round_id, case_id, lifecycle_phase AS phase, count(*) AS ne, max(CASE action WHEN 'allow' THEN 0e0 WHEN 'monitor' THEN 3e-2 WHEN 'step_up' THEN 25e-2 WHEN 'hold' THEN 70e-2 ELSE 1e0 END) AS cost, "
            "bool_or(action IN ('step_up', 'hold', 'block')) AS al FROM turns WHERE role = 'control' GROUP BY 1, 2, 3) z GROUP BY 1, 2",
     "c9a": "SELECT rr.round_id, ph.phase, ph.phase_index, event_count, st, en, first_type, fa.n, fa.fa, cited, pk, " + ", ".join(f"n_{a}" for a in d.ACTIONS)
-           + ", ai, ix.ao, dof, lc, ac, fp, coalesce(hfp, 0e0) AS hfp, coalesce(fr, 0e0) AS fr, "
+           + ", ai, ix.ao, dof, lc, ac, fp, pn, coalesce(hfp, 0e0) AS hfp, coalesce(fr, 0e0) AS fr, "
              f"coalesce((SELECT min(offset_seconds) FROM ev e WHERE e.round_id = rr.round_id AND e.offset_seconds > sp.en AND {_PI.format(x='e.lifecycle_phase')} > ph.phase_index), sp.en) AS dl, "
              "(SELECT sum(value_at_risk_inr) FROM ev e WHERE e.round_id = rr.round_id AND e.offset_seconds >= sp.st) AS dv, "
              "coalesce((SELECT sum(value_at_risk_inr) FROM ev e WHERE e.round_id = rr.round_id AND e.offset_seconds >= greatest(sp.st, dof)), 0e0) AS cv, "
@@ -199,6 +211,7 @@ def scorecard(t: Tables, x: Rounds | None = None):
 
 @query("C9_lifecycle_scorecard", _sql(
     "SELECT round_id, phase, CASE WHEN event_count IS NULL THEN 'not_in_scenario' WHEN n IS NULL THEN 'prevented_before_phase' ELSE 'reached' END AS status, coalesce(event_count, 0) AS event_count, coalesce(n, 0) AS evaluated_event_count, "
+    "CASE WHEN event_count IS NOT NULL THEN round(coalesce(n, 0) / CAST(event_count AS DOUBLE), 4) END AS evaluation_coverage, CASE WHEN n IS NOT NULL THEN CAST(coalesce(pn, 0) AS BIGINT) END AS phase_matched_control_event_count, "
     "first_type AS first_actionable_event, phase_score, CASE WHEN fa IS NOT NULL THEN greatest(0, ao - st) END AS response_time_seconds, CASE WHEN n IS NOT NULL THEN round(resp, 4) END AS response_score, "
     "CASE WHEN n IS NOT NULL THEN round(dv, 2) END AS downstream_value_exposed_inr, CASE WHEN n IS NOT NULL THEN round(ctrl, 2) END AS value_controlled_from_phase_inr, CASE WHEN n IS NOT NULL THEN round(cons, 4) END AS consequence_control_ratio, "
     "CASE WHEN n IS NOT NULL THEN CAST(round(CAST(safe AS DECIMAL(30, 9)), 4) AS DOUBLE) END AS legitimate_safety_rate, CASE WHEN n IS NOT NULL THEN round(stealth, 4) END AS red_stealth_ratio, "
@@ -208,7 +221,7 @@ def _(t: Tables):
     return scorecard(t).select(
         "round_id", "phase", "status", "event_count", "evaluated_event_count", "first_actionable_event", "phase_score", "response_time_seconds", "response_score",
         "downstream_value_exposed_inr", "value_controlled_from_phase_inr", "consequence_control_ratio", "legitimate_safety_rate", "red_stealth_ratio",
-        "transition_escape_rate", "evidence_citation_rate", "hold_count", "allow_count",
+        "transition_escape_rate", "evidence_citation_rate", "hold_count", "allow_count", "evaluation_coverage", "phase_matched_control_event_count",
     )
 
 

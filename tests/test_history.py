@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -79,3 +80,39 @@ def test_chain_frame_treats_missing_chain_as_singleton(spark):
     assert out[2]["value_sum_last_hour_inr"] == 30.0 and out[2]["seconds_since_prev_event"] == 1800.0
     assert [out[i]["distinct_beneficiaries_prior"] for i in (1, 2, 3)] == [0, 1, 2]
     assert out[1]["seconds_since_prev_event"] is None and out[1]["day_of_week"] == 0
+
+
+@pytest.mark.parametrize("limit", [6, 1000])
+def test_the_sequence_alone_decides_what_is_earlier(spark, limit):
+    """Chains whose time runs back and forth, with equal times, equal sequences, missing times and a hot chain."""
+    rng = random.Random(limit)
+    start = datetime(2025, 2, 3, 4)
+    rows = [
+        (i, "hot" if i % 2 else f"c{i % 6}", rng.randrange(30) if rng.random() > 0.05 else None,
+         start + timedelta(minutes=rng.randrange(0, 240, 5)) if rng.random() > 0.1 else None, rng.randrange(900) / 100) for i in range(90)
+    ]
+    rows += [(100 + i, "ordered", i, start + timedelta(minutes=20 * i), 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "event_id long, k string, seq int, ts timestamp, amount double")
+    spark.conf.set("spark.riskweave.hotGroupRows", str(limit))
+    try:
+        got = {r["event_id"]: r for r in h.trailing_hour(df, "k", "ts", "seq", "event_id", "amount", sequence=True).collect()}
+    finally:
+        spark.conf.unset("spark.riskweave.hotGroupRows")
+
+    def place(r):
+        return (r[2] is not None, r[2] or 0, r[0])
+
+    for r in rows:
+        seen = [x for x in rows if x[1] == r[1] and place(x) < place(r) and r[3] and x[3] and timedelta(0) <= r[3] - x[3] <= timedelta(hours=1)]
+        assert got[r[0]]["events_last_hour"] == len(seen)
+        assert got[r[0]]["value_sum_last_hour_inr"] == pytest.approx(round(sum(x[4] for x in seen) + r[4], 2))
+    assert len(got) == len(rows)
+
+
+def test_an_event_later_in_the_sequence_is_never_seen(spark):
+    at = datetime(2025, 2, 3, 9)
+    rows = [(1, "c", 1, at + timedelta(minutes=10), 10.0), (2, "c", 2, at, 20.0)]
+    df = spark.createDataFrame(rows, "event_id long, chain_id string, sequence int, occurred_at timestamp, amount_inr double")
+    out = {r["event_id"]: r for r in h.chain_feature_frame(df.withColumn("event_type", F.lit("PAYMENT_INITIATED"))).collect()}
+    assert [out[i]["events_last_hour"] for i in (1, 2)] == [0, 0]
+    assert [out[i]["value_sum_last_hour_inr"] for i in (1, 2)] == [10.0, 20.0]
