@@ -43,7 +43,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
-_BUILT: dict[int, ByteBpe] = {}
+_BUILT: dict[tuple, TokenBytes] = {}
 #: Kinds of characters, and the letters of contractions.
 OTHER, LETTER, NUMBER, WHITE, UNKNOWN = range(5)
 _SHORT, _LONG = [ord(c) for c in "stmd"], [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
@@ -129,8 +129,28 @@ class PieceTable:
         return same
 
 
-class ByteBpe:
-    """Tables of one tokenizer file (the text of its JSON)."""
+class TokenBytes:
+    """Bytes of all tokens of a tokenizer file (the text of its JSON) in a row, with an offset table."""
+
+    def __init__(self, tokenizer_json: str) -> None:
+        spec = json.loads(tokenizer_json)
+        vocab, self.special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.token_bytes = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        for token, i in vocab.items():
+            self.token_bytes[i] = bytes(_BYTE_OF[c] for c in token)
+        for content, i in self.special.items():
+            self.token_bytes[i] = content.encode()
+        sizes = np.array([len(b) for b in self.token_bytes], np.int64)
+        self.flat, self.offsets = np.frombuffer(b"".join(self.token_bytes), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the tokens one after the other."""
+        starts = self.offsets[ids]
+        return self.flat[ranges(starts, self.offsets[ids + 1] - starts)]
+
+
+class ByteBpe(TokenBytes):
+    """Tables for encoding with one tokenizer file."""
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,20 +158,12 @@ class ByteBpe:
         model, cut = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"] or spec["normalizer"]:
             raise ValueError("expects a byte-level BPE tokenizer without normalizer and prefix space")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        super().__init__(tokenizer_json)
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("expects special tokens that match literally")
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        n = max([*model["vocab"].values(), *self.special.values()]) + 1
-        self.token_bytes = [b""] * n
-        for token, i in model["vocab"].items():
-            self.token_bytes[i] = bytes(_BYTE_OF[c] for c in token)
         self._merges(model["vocab"], model["merges"])
         self._matches(model["vocab"].values())
-        for content, i in self.special.items():
-            self.token_bytes[i] = content.encode()
-        sizes = np.array([len(b) for b in self.token_bytes], np.int64)
-        self.flat, self.offsets = np.frombuffer(b"".join(self.token_bytes), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
         self.pattern = regex.compile(PIECE)
         self.cutter = Tokenizer.from_str(tokenizer_json).pre_tokenizer
         self.pairs: dict[int, bool] = {}
@@ -167,7 +179,7 @@ class ByteBpe:
             if self.rank[whole] >= 0 or len(self.token_bytes[whole]) < 2:
                 raise ValueError("two merges give the same token")
             self.rank[whole], self.left[whole], self.right[whole] = rank, vocab[a], vocab[b]
-            self.joined[vocab[a], vocab[b]] = rank
+            self.joined[vocab[a] * n + vocab[b]] = rank
             if max(self.rank[vocab[a]], self.rank[vocab[b]]) >= rank:
                 raise ValueError("a merge comes before those of its parts")
 
@@ -203,11 +215,11 @@ class ByteBpe:
         A pair across the border is met while both its tokens exist, which ends with the earlier of the merges that use them up;
         it is joined if its own merge comes before that one. On equal ranks the left one is merged first.
         """
-        rank, joined = self.rank, self.joined
+        rank, joined, width = self.rank, self.joined, len(self.rank)
         used_a = used_b = len(joined)  # rank of the merge that takes in the token at the border, later than all at first
         while True:
-            own = joined.get((a, b))
-            if own is not None and (own < used_a) and (own <= used_b if used_b < len(joined) else True):
+            own = joined.get(a * width + b)
+            if own is not None and own < used_a and own <= used_b:
                 return False
             if rank[a] < 0 and rank[b] < 0:
                 return True
@@ -296,11 +308,6 @@ class ByteBpe:
         every[direct] = len(self.table.sizes) + np.arange(len(direct))
         return every, [np.array(self.encode_piece(raw[starts[i]:starts[i] + sizes[i]]), np.int32) for i in direct]
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of the tokens one after the other."""
-        starts = self.offsets[ids]
-        return self.flat[ranges(starts, self.offsets[ids + 1] - starts)]
-
 
 def share(spark: SparkSession, path: str):
     """Broadcast of the tokenizer's text (a file of fixed size, about 2 MB); executors need no path."""
@@ -308,12 +315,12 @@ def share(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def tables(shared) -> ByteBpe:
-    """The worker's tables, kept between tasks."""
-    key = hash(shared.value)
+def tables(shared, kind: type[TokenBytes] = ByteBpe) -> ByteBpe | TokenBytes:
+    """The worker's tables, kept between tasks; decoding needs no more than the bytes of the tokens."""
+    key = (kind.__name__, hash(shared.value))
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = ByteBpe(shared.value)
+        _BUILT[key] = kind(shared.value)
     return _BUILT[key]
 
 
@@ -341,7 +348,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> Dat
     shared = share(encoded.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tables(shared)
+        tokens = tables(shared, TokenBytes)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64))
@@ -352,7 +359,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> Dat
                 texts = []
                 for i in range(len(part)):
                     own = np.zeros(0, np.int64) if not part[i].is_valid else np.asarray(part[i].values).astype(np.int64)
-                    texts.append(bpe.spell(own).tobytes().decode("utf-8", "replace"))
+                    texts.append(tokens.spell(own).tobytes().decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, stop - first).columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
                 first = stop
 

@@ -220,6 +220,41 @@ def running(
     return result.unionByName(_segmented(heavy, keys, order, aggs, hot.rows))
 
 
+def running_low(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, total: str, low: str, hot: HotGroups | None = None
+) -> DataFrame:
+    """Adds the running sum of a column and the least that sum has been so far.
+
+    Segments carry both at once: the sum of all rows before, and the least prefix sum so far, which for each earlier segment is
+    its own least prefix on top of the sum before it.
+    """
+    keys = list(keys)
+    if not keys:
+        return _segmented_low(df, [], order, value, total, low, None)
+    hot = hot or find_hot(df, keys)
+    cold, heavy = split_hot(df, hot)
+    window = Window.partitionBy(*keys).orderBy(*_sort(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    result = cold.withColumn(total, F.sum(value).over(window)).withColumn(low, F.min(total).over(window))
+    if heavy is None:
+        return result
+    return result.unionByName(_segmented_low(heavy, keys, order, value, total, low, hot.rows))
+
+
+def _segmented_low(df: DataFrame, keys, order, value: str, total: str, low: str, rows: int | None) -> DataFrame:
+    window = Window.partitionBy("_seg", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = _segments(df, keys, order, rows).withColumn("_sum", F.sum(value).over(window)).withColumn("_low", F.min("_sum").over(window))
+    pieces = inside.groupBy("_seg", *keys).agg(F.sum(value).alias("_all"), F.min("_sum").alias("_least"))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    carry = pieces.withColumn("_c_sum", F.sum("_all").over(before)).withColumn(
+        "_c_low", F.min(F.coalesce("_c_sum", F.lit(0)) + F.col("_least")).over(before))
+    carry = carry.select(F.col("_seg").alias("_h__seg"), *[F.col(k).alias(f"_h_{k}") for k in keys], "_c_sum", "_c_low")
+    joined = inside.join(F.broadcast(carry), _null_safe(inside, carry, ["_seg", *keys]), "left")
+    base = F.coalesce("_c_sum", F.lit(0))
+    kind = inside.schema["_sum"].dataType
+    return joined.select(
+        *df.columns, (base + F.col("_sum")).cast(kind).alias(total), F.least(F.col("_c_low"), base + F.col("_low")).cast(kind).alias(low))
+
+
 def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
     """Exact 1-based position in a whole-table order."""
     return running(df, [], order, {name: Running("count")})
