@@ -9,6 +9,7 @@ from riskweave import domains as d
 from riskweave.functions import scalar as p
 from riskweave.operators import history as h
 from riskweave.operators import joins as j
+from riskweave.operators import policy as g
 from riskweave.plans.registry import Tables, query
 from riskweave.plans.views import with_views
 
@@ -280,12 +281,14 @@ def _(t: Tables):
 @query(
     "J2_events_with_decisions",
     with_views(
-        "SELECT e.event_id, e.case_id, e.sequence, event_type, lifecycle_phase, action FROM case_events e LEFT JOIN (SELECT * FROM decisions WHERE action <> 'monitor') d "
+        "SELECT e.event_id, e.case_id, e.sequence, event_type, lifecycle_phase, action FROM case_events e LEFT JOIN (SELECT * FROM ("
+        "SELECT *, coalesce(bool_or(action = 'block') OVER (PARTITION BY case_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM decisions) q WHERE NOT stopped) d "
         "ON d.event_id = e.event_id", "case_events", "decisions"),
 )
 def _(t: Tables):
+    """Events after the first block of their case have no decision."""
     events = t("case_events").select("event_id", "case_id", "sequence", "event_type", "lifecycle_phase")
-    return j.events_with_decisions(events, t("decisions").where(F.col("action") != "monitor"))
+    return j.events_with_decisions(events, g.stop_on_block(t("decisions")))
 
 
 @query(

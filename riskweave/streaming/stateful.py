@@ -232,7 +232,7 @@ def stream_label_log(rows: DataFrame, path: str, checkpoint: str, ts: str, delay
 
 
 def stream_rollups(events: DataFrame, ts: str = "event_ts", width: str = "1 day", slide: str | None = None, delay: str = "1 hour", by: Sequence[str] = ()) -> DataFrame:
-    """ST4: legitimate and fraud counts per window, final once the watermark has passed."""
+    """ST4: legitimate and fraud counts per window, final once the watermark has passed; ``run_latest`` gives open windows too."""
     window = F.window("_time", width, slide) if slide else F.window("_time", width)
     timed = events.withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", delay)
     return timed.groupBy(window.alias("w"), *by).agg(
@@ -251,3 +251,17 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_latest(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
+    """Process what the source holds now and return every key's latest row, those of windows the watermark leaves open too.
+
+    Each micro-batch stores the rows it changed in a folder of its own, overwritten on a retry; the highest batch of a key counts.
+    """
+    spark, values = stream.sparkSession, [c for c in stream.columns if c not in keys]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    latest = changed.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
+    return latest.select(*keys, *[F.col(f"_row.{v}").alias(v) for v in values])
