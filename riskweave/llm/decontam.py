@@ -2,10 +2,12 @@
 
 A benchmark item of n words has n - 4 shingles of five words, weighted by how often they occur in it. A document is compared with
 an item through its windows of as many shingles. Windows of s shingles and an item of t have similarity 0.8 only if they share
-4/9 (s + t) shingles, so only windows with that many places whose shingle the item holds are verified, by exact weighted Jaccard
-similarity of the shingle multisets. No similar window is left out: a SimHash radius alone can't promise that, as one changed word
-in 50 moves a fingerprint by more than 11 of 64 bits in one case of five. The SimHash distance of the best window is returned;
-``Items.near`` finds all pairs within ``RADIUS`` bits by tables of 16-bit blocks with up to ``RADIUS // 4`` bits changed.
+4/9 (s + t) shingles, so only windows with that many places whose shingle occurs in the benchmark at all get a fingerprint; that
+leaves out no similar window and nearly all of an ordinary text. Multi-index Hamming blocks then find all items of the window's
+size within ``RADIUS`` of its 64 bits: fingerprints that differ in at most 23 bits differ in at most two bits of one of eight blocks of
+eight, and every item is listed under all such values of each block. The pairs found are verified by exact weighted Jaccard similarity of
+the shingle multisets. A pair of similarity 0.8 differs in 9.7 bits on average with a deviation of 2.9, so the radius lies more than
+four deviations beyond.
 
 The benchmark is read in blocks of bounded size; each is broadcast and meets all documents, so documents are never shuffled and
 a passage that many documents share costs each of them the same.
@@ -18,7 +20,6 @@ row and item. Repeated rows repeat their results. Equal items each match. Empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import ranges, text_slices
 from riskweave.llm.words import mix, multiset, shingle_hashes, word_hashes
 
-WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 11, 4
+WIDTH, SIMILARITY = 5, 0.8
+#: Most bits that differ, and the blocks of the fingerprint with the bits changed in each: BLOCKS * (FLIPS + 1) > RADIUS.
+RADIUS, BLOCKS, FLIPS = 23, 8, 2
+_BITS = 64 // BLOCKS
 #: Most benchmark bytes in one broadcast block.
 BLOCK_BYTES = 2 << 20
 _SLICE = 1 << 18
-#: Most shingles of windows that are verified at once; one window at least.
-_VERIFIED = 1 << 21
+#: Windows looked up at once, and most shingles of windows that are verified at once; one window at least.
+_WINDOWS, _VERIFIED = 1 << 13, 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, similarity double, hamming int, start_word long, n_words long"
 
@@ -58,12 +62,11 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
 class Items:
     """One block of benchmark items with its lookup tables."""
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS) -> None:
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
         rows = [(i, t.encode()) for i, t in rows]
         data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])]).astype(np.int64)
         words, word_offsets = word_hashes(data, offsets)
-        self.radius = radius
         self.ids = np.array([i for i, _ in rows], np.int64)
         self.words = np.diff(word_offsets)
         hashes, at = shingle_hashes(words, word_offsets, WIDTH)
@@ -72,8 +75,7 @@ class Items:
         long = self.words[item] >= WIDTH
         self.short = {n: (h[self.words[item] == n], item[self.words[item] == n]) for n in set(self.words[item[~long]].tolist())}
         item, h, count = item[long], h[long], count[long]
-        order = np.argsort(h, kind="stable")
-        self.shingles, self.shingle_item = h[order], item[order]
+        self.shingles = np.unique(h)
         entry = np.argsort(_entry(h, item))
         self.entries, self.entry_count = _entry(h, item)[entry], count[entry]
         self.maybe = np.zeros(1 << 20, bool)
@@ -81,35 +83,40 @@ class Items:
         self.prints = np.zeros(len(rows), np.uint64)
         usable = np.flatnonzero(self.words >= WIDTH)
         self.prints[usable] = fingerprints(hashes, at[usable], self.sizes[usable])
-
-    @cached_property
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        usable = np.flatnonzero(self.words >= WIDTH)
-        return [self._table(usable, b) for b in range(BLOCKS)]
-
-    def _table(self, usable: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets by block value, items) with every item under all values within the block's share of the radius."""
-        value = (self.prints[usable] >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF
-        flips = [sum(1 << b for b in bits) for n in range(self.radius // BLOCKS + 1) for bits in combinations(range(16), n)]
-        near = value[:, None] ^ np.array(flips, np.int64)[None, :]
-        items = np.repeat(usable, len(flips))
-        order = np.argsort(near.ravel(), kind="stable")
-        return np.searchsorted(near.ravel()[order], np.arange(65537)), items[order]
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (window, item) within the radius, by the block tables."""
+        self.classes, kind = np.unique(self.sizes[usable], return_inverse=True)  # item sizes: windows meet items of their size
+        self.tables = [self._table(usable, kind, b) for b in range(BLOCKS)]
+
+    def _table(self, usable: np.ndarray, kind: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets by size class and block value, items) with every item under all values that differ in few enough bits."""
+        value = _block(self.prints[usable], block)
+        flips = [sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(_BITS), n)]
+        near = ((kind << _BITS)[:, None] + (value[:, None] ^ np.array(flips, np.int64)[None, :])).ravel()
+        order = np.argsort(near, kind="stable")
+        return np.searchsorted(near[order], np.arange((len(self.classes) << _BITS) + 1)), np.repeat(usable, len(flips))[order]
+
+    def near(self, prints: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (window, item of its size class) within the radius, by the block tables."""
         windows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for block, (offsets, listed) in enumerate(self.tables):
-            value = (prints >> np.uint64(16 * block)).astype(np.int64) & 0xFFFF
+            value = (kind << _BITS) + _block(prints, block)
             count = offsets[value + 1] - offsets[value]
             window = np.repeat(np.arange(len(prints)), count)
             item = listed[ranges(offsets[value], count)]
-            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
+            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
             windows.append(window[close])
             items.append(item[close])
-        pairs = np.unique(np.concatenate(windows) * len(self.ids) + np.concatenate(items))
+        pairs = np.unique(np.concatenate(windows) * max(1, len(self.ids)) + np.concatenate(items))
         return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
+    def occurs(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each shingle occurs in an item."""
+        found = self.maybe[hashes >> np.uint64(44)]
+        at = np.flatnonzero(found)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.shingles, hashes[at]), len(self.shingles) - 1)
+            found[at] = self.shingles[place] == hashes[at]
+        return found
+
     def overlap(self, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Size of the multiset intersection of window i and item i."""
         if not len(starts) or not len(self.entries):
@@ -126,42 +133,54 @@ def _entry(hashes: np.ndarray, items: np.ndarray) -> np.ndarray:
     return mix(hashes + (items.astype(np.uint64) + np.uint64(1)) * _ODD)
 
 
-def candidate_windows(hashes: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, shingles, item) of all windows with enough places whose shingle the item holds, a bound on the common shingles."""
-    places = np.flatnonzero(items.maybe[hashes >> np.uint64(44)])
-    low = np.searchsorted(items.shingles, hashes[places], side="left")
-    count = np.searchsorted(items.shingles, hashes[places], side="right") - low
-    place, item = np.repeat(places, count), items.shingle_item[ranges(low, count)]
-    order = np.lexsort((place, item))
-    place, item = place[order], item[order]
-    doc = np.searchsorted(offsets, place, side="right") - 1
-    first, end = offsets[doc], offsets[doc + 1]
-    size = np.minimum(items.sizes[item], end - first)  # a document shorter than the item is one window
-    need = np.ceil(SIMILARITY * (size + items.sizes[item]) / (1 + SIMILARITY) - 1e-6).astype(np.int64)
-    last = np.arange(len(place)) + need - 1  # the place that completes a window whose first such place is this
-    inside = np.minimum(last, max(0, len(place) - 1))
-    full = (last < len(place)) & (item[inside] == item) & (place[inside] < end) & (place[inside] - place < size)
-    place, item, first, end, size, reach = place[full], item[full], first[full], end[full], size[full], place[inside[full]]
-    low, high = np.maximum(first, reach - size + 1), np.minimum(place, end - size)
-    same = (item[1:] == item[:-1]) & (first[1:] == first[:-1])
-    low[1:] = np.where(same, np.maximum(low[1:], high[:-1] + 1), low[1:])  # both ends grow, so starts are listed once
-    n = np.maximum(high - low + 1, 0)
-    return ranges(low, n), np.repeat(size, n), np.repeat(item, n)
+def _block(prints: np.ndarray, block: int) -> np.ndarray:
+    return (prints >> np.uint64(_BITS * block)).astype(np.int64) & ((1 << _BITS) - 1)
+
+
+def likely_windows(hashes: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, shingles, size class) of all windows with enough places whose shingle occurs in the benchmark."""
+    inside = items.occurs(hashes)
+    total = np.concatenate([[0], np.cumsum(inside)])
+    sizes, hits = np.diff(offsets), total[offsets[1:]] - total[offsets[:-1]]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for kind, full in enumerate(items.classes.tolist()):
+        size = np.minimum(full, sizes)  # a document shorter than the item is one window
+        need = np.ceil(SIMILARITY * (size + full) / (1 + SIMILARITY) - 1e-6).astype(np.int64)
+        docs = np.flatnonzero((hits >= need) & (size > 0))
+        if not len(docs):
+            continue
+        count = sizes[docs] - size[docs] + 1
+        start, width = ranges(offsets[docs], count), np.repeat(size[docs], count)
+        good = total[start + width] - total[start] >= np.repeat(need[docs], count)
+        found.append((start[good], width[good], np.full(int(good.sum()), kind)))
+    start, size, kind = (np.concatenate(c) for c in zip(*found, strict=True))
+    return start, size, kind
+
+
+def similar_windows(hashes: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(start, shingles, item, similarity, hamming) of all windows within the radius of an item and with similarity 0.8 or more."""
+    start, size, kind = likely_windows(hashes, offsets, items)
+    out = []
+    for k in range(0, max(len(start), 1), _WINDOWS):
+        own, width = start[k:k + _WINDOWS], size[k:k + _WINDOWS]
+        prints = fingerprints(hashes, own, width)
+        window, item = items.near(prints, kind[k:k + _WINDOWS])
+        cuts = np.flatnonzero(np.diff(np.cumsum(width[window]) // _VERIFIED)) + 1
+        parts = zip(np.split(window, cuts), np.split(item, cuts), strict=True)
+        common = np.concatenate([items.overlap(hashes, own[w], width[w], i) for w, i in parts])
+        similarity = common / np.maximum(width[window] + items.sizes[item] - common, 1)
+        good = similarity >= SIMILARITY
+        window, item = window[good], item[good]
+        out.append((own[window], width[window], item, similarity[good], np.bitwise_count(prints[window] ^ items.prints[item]).astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def match_batch(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     """Best window of each (document, item): document, item, similarity, hamming, start word, words."""
     words, word_offsets = word_hashes(data, offsets)
     hashes, at = shingle_hashes(words, word_offsets, WIDTH)
-    start, size, item = candidate_windows(hashes, at, items)
-    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _VERIFIED)) + 1
-    parts = [(hashes, s, n, i) for s, n, i in zip(*(np.split(c, cuts) for c in (start, size, item)), strict=True)]
-    common = np.concatenate([items.overlap(*part) for part in parts])
-    similarity = common / np.maximum(size + items.sizes[item] - common, 1)
-    good = similarity >= SIMILARITY
-    start, size, item, similarity = start[good], size[good], item[good], similarity[good]
+    start, size, item, similarity, hamming = similar_windows(hashes, at, items)
     doc = np.searchsorted(at, start, side="right") - 1
-    hamming = np.bitwise_count(fingerprints(hashes, start, size) ^ items.prints[item]).astype(np.int64)
     found = [(doc, item, similarity, hamming, start - at[doc], np.minimum(size + WIDTH - 1, np.diff(word_offsets)[doc]))]
     for n, (h, short_item) in items.short.items():
         rolled, roll_at = shingle_hashes(words, word_offsets, n)

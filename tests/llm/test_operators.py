@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskweave.llm import bagminhash, bpe, chains, chat, decontam, exact, kdtree, langid, packing, repair, secrets, words
+from riskweave.llm import bagminhash, bpe, chains, chat, common, decontam, exact, kdtree, langid, packing, repair, secrets, words
 from riskweave.llm.queries import TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, slot long, kept boolean, score double"
@@ -157,33 +157,47 @@ def test_decontamination_equals_brute_force(spark, mixed):
 
 @pytest.mark.parametrize(("words", "changes"), [(50, (25,)), (60, (30,)), (100, (30, 70)), (120, (40, 80))])
 def test_decontamination_finds_changed_inner_words(words, changes):
-    """Similarity 0.80 to 0.85, where fingerprints often differ by more than 11 bits."""
-    items = decontam.Items([(i, prose(2000 + i, words)) for i in range(60)])
+    """Similarity 0.80 to 0.85, where fingerprints often differ by more than 11 bits; 500 items of each kind, none missed."""
+    items = decontam.Items([(i, prose(2000 + i, words)) for i in range(500)])
     texts = []
-    for i in range(60):
+    for i in range(500):
         changed = prose(2000 + i, words).split()
         for place in changes:
             changed[place] = "zzzzz"
-        texts.append(" ".join([prose(3000 + i, 30), *changed, prose(4000 + i, 30)]).encode())
+        texts.append(" ".join([prose(30_000 + i, 30), *changed, prose(40_000 + i, 30)]).encode())
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     doc, item, similarity, hamming, first, n_words = decontam.match_batch(data, offsets, items)
     shingles, common = words - 4, words - 4 - 5 * len(changes)
-    assert doc.tolist() == item.tolist() == list(range(60)) and set(first.tolist()) == {30} and set(n_words.tolist()) == {words}
+    assert doc.tolist() == item.tolist() == list(range(500)) and set(first.tolist()) == {30} and set(n_words.tolist()) == {words}
     assert similarity == pytest.approx(common / (2 * shingles - common)) and 0.8 <= similarity[0] <= 0.85
-    assert (hamming > decontam.RADIUS).any()
+    assert (hamming > 11).any() and hamming.max() <= decontam.RADIUS
 
 
 def test_block_tables_find_all_within_radius():
-    items = decontam.Items([(i, prose(i, 30)) for i in range(50)])
+    items = decontam.Items([(i, prose(i, 30 + i % 3)) for i in range(50)])
     rng = np.random.default_rng(1)
-    prints = items.prints[rng.integers(0, 50, 400)]
-    for n in range(1, 14):
-        prints[n::14] ^= np.array([sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for _ in prints[n::14]], np.uint64)
-    window, item = items.near(prints)
-    exact_pairs = np.argwhere(np.bitwise_count(prints[:, None] ^ items.prints[None, :]) <= items.radius)
+    picked = rng.integers(0, 50, 800)
+    prints, kind = items.prints[picked], np.searchsorted(items.classes, items.sizes[picked])
+    for n in range(1, 28):
+        prints[n::28] ^= np.array([sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for _ in prints[n::28]], np.uint64)
+    window, item = items.near(prints, kind)
+    same = items.sizes[picked][:, None] == items.sizes[None, :]
+    exact_pairs = np.argwhere(same & (np.bitwise_count(prints[:, None] ^ items.prints[None, :]) <= decontam.RADIUS))
     assert sorted(zip(window.tolist(), item.tolist(), strict=True)) == sorted(map(tuple, exact_pairs.tolist()))
 
 
+def test_frequent_benchmark_shingles_stay_bounded(monkeypatch):
+    """Many items share a shingle that fills a long text: windows are looked up in runs, and the result is that of one run."""
+    items = decontam.Items([(i, f"one two three four five {prose(600 + i, 20)}") for i in range(200)])
+    texts = [("one two three four five " * 400).encode(), prose(605, 20).encode(), f"x one two three four five {prose(607, 20)} y".encode()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = decontam.match_batch(data, offsets, items)
+    monkeypatch.setattr(decontam, "_WINDOWS", 7)
+    monkeypatch.setattr(decontam, "_VERIFIED", 50)
+    assert [c.tolist() for c in decontam.match_batch(data, offsets, items)] == [c.tolist() for c in whole]
+    assert (1, 5) not in set(zip(whole[0].tolist(), whole[1].tolist())) and (2, 7) in set(zip(whole[0].tolist(), whole[1].tolist()))
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(3)
     h = words.mix(np.arange(60, dtype=np.uint64))
@@ -522,3 +536,53 @@ def test_passages_on_either_side_of_unlike_words(spark):
     texts = [" ".join([first, prose(710 + i, 100), second]) for i in range(2)]
     rows = chains.passages(frame(spark, texts)).collect()
     assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["matched"]) for r in rows) == [(1, 0, 60, 60), (1, 160, 220, 60)]
+
+
+def test_copies_with_unlike_language_share_a_shard(spark):
+    texts = [prose(i, 10 + i % 30) for i in range(150)]
+    rows = [(2 * i + k, t, lang, "s", len(t), 7, 7, True, 0.5) for i, t in enumerate(texts) for k, lang in enumerate(("aa", "zz"))]
+    out = kdtree.kdtree_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect()
+    shard = {r["doc_id"]: r["shard"] for r in out}
+    assert len(set(shard.values())) == 8 and all(shard[2 * i] == shard[2 * i + 1] for i in range(150))
+
+
+def test_language_sample_is_bounded_by_rows_not_ids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 7)
+    same = [(1, prose(3, 40), "en", "s", 1, 7, 7, True, 0.5)] * 300
+    unlike = [(1, prose(i, 40), "de", "s", 1, 7, 7, True, 0.5) for i in range(300)]
+    docs = spark.createDataFrame(same + unlike, SCHEMA)
+    if docs.where(langid.held_out()).count():
+        docs = docs.withColumn("doc_id", F.lit(2).cast("long"))
+    assert docs.where(~langid.held_out()).count() == 600
+    segments, labels = langid.training_segments(docs)
+    assert Counter(labels)["de"] <= 7 * langid.SAMPLE_SEGMENTS and Counter(labels)["en"] <= langid.SAMPLE_SEGMENTS
+    assert {"en", "de"} == set(labels)
+
+
+def test_near_dedup_keeps_texts_without_id_apart(spark):
+    texts = [(None, prose(1, 30)), (None, prose(2, 30)), (-1, prose(3, 30)), (5, prose(4, 30)), (None, prose(4, 30)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, 7, True, 0.5) for i, t in texts], SCHEMA)
+    out = bagminhash.near_duplicate_classes(docs).collect()
+    by_class = defaultdict(list)
+    for r in out:
+        by_class[r["class_id"]].append((r["doc_id"], r["class_size"], r["kept"]))
+    assert by_class[-1] == [(-1, 1, True)]
+    assert sorted(by_class[5], key=str) == [(5, 2, True), (None, 2, True)]
+    assert sorted(len(v) for v in by_class.values()) == [1, 1, 1, 2, 2]  # null and empty text are one class
+    changed = prose(6, 60).split()
+    changed[40] = "zzz"
+    near = spark.createDataFrame([(None, prose(6, 60)), (None, " ".join(changed)), (9, prose(7, 60))], "doc_id long, text string")
+    sizes = Counter(r["class_size"] for r in bagminhash.near_duplicate_classes(near).collect())
+    assert sizes == {2: 2, 1: 1}
+
+
+def test_batches_are_bounded_unless_set_lower(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        for given, want in (("67108864", str(common.BATCH_BYTES)), ("4096", "4096"), ("1m", "1m")):
+            spark.conf.set(key, given)
+            common.bound_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
