@@ -6,7 +6,8 @@ aggregates a node into a fixed number of buckets and the next pass looks only in
 driver sees a bounded histogram and never a document. All nodes of a level share their passes.
 
 Rows are ordered by (dimension, text hash, doc_id), so equal texts stay together. A group of copies above ``heavy`` of a shard
-is placed first, whole, on the emptiest shard; a group larger than a shard is cut like single documents.
+is placed first, whole, on the emptiest shard, which it may overfill by its size; only a group larger than a shard is cut, like
+single documents. Smaller groups are never cut.
 
 Defined results: a null text weighs one byte, null metadata counts as 0 and lowest, null ids sort first; repeated rows go to
 the same shard; with fewer texts than shards some shards stay empty; an empty table gives an empty result.
@@ -34,6 +35,7 @@ class _Node:
 
     first: int
     n: int
+    whole: float  # a group of copies up to this size is never cut
     dim: int = 0
     level: int = 0  # component searched: 0 dimension, 1 text hash, 2 doc_id
     low: int = 0
@@ -52,10 +54,10 @@ def text_rank(column: Column) -> Column:
 
 
 def document_dimensions(docs: DataFrame) -> dict[str, Column]:
-    """Metadata that copies of a text share: bytes, recorded characters, language, bytes per character."""
+    """Metadata that copies of a text share: bytes, and bytes per character. A label such as ``lang`` may differ between copies."""
     size, chars = utf8_bytes(F.col("text")), F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return {
-        "bytes": size, "lang": text_rank(F.col("lang")),
+        "bytes": size,
         "density": F.when(chars > 0, F.floor(size * 1_000_000 / chars)).otherwise(F.lit(0)).cast("long"),
     }
 
@@ -115,7 +117,7 @@ def _narrow(node: _Node, buckets: list) -> None:
             node.low, node.high = low, high
         elif node.level == 0:
             node.value, node.level, node.low, node.high = low, 1, 0, (1 << 63) - 1
-        elif node.level == 1 and size > HEAVY * node.target:
+        elif node.level == 1 and size > node.whole:
             node.group, node.level, node.low, node.high = low, 2, -1, (1 << 62)
         else:  # one group of copies or one document: it goes to the side where it leaves the smaller gap
             left = node.before + size - node.target <= node.target - node.before
@@ -144,7 +146,7 @@ def kdtree_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     placed = []
     for r in sorted(heavy_rows, key=lambda r: (-r["size"], r["_group"])):
         best = max(range(shards), key=lambda s: room[s])
-        if r["size"] <= room[best]:
+        if r["size"] <= total / shards:
             room[best] -= r["size"]
             placed.append((r["_group"], best))
     heavy = F.broadcast(small_frame(spark, placed, "_group long, _shard int"))
@@ -152,7 +154,7 @@ def kdtree_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     free = rows.join(heavy, "_group", "left_anti").withColumn("_node", F.lit(0))
     spans = free.agg(*[f(F.col("_dims")[d]) for d in range(max(1, len(dimensions))) for f in (F.min, F.max)]).first()
     widths = [max(1, (spans[2 * d + 1] or 0) - (spans[2 * d] or 0)) for d in range(max(1, len(dimensions)))]
-    nodes = [_Node(0, shards)]
+    nodes = [_Node(0, shards, HEAVY * total / shards)]
     while any(n.n > 1 for n in nodes):
         nodes, free = _split_level(free, nodes, room, widths, len(dimensions))
     leaf = small_frame(spark, [(i, n.first) for i, n in enumerate(nodes)], "_node int, _shard int")
@@ -180,11 +182,11 @@ def _split_level(free: DataFrame, nodes: list[_Node], room: list[float], widths:
     for i, node in enumerate(nodes):
         if node.n == 1:
             cuts.append((i, 0, 0, 0, 0, len(children), len(children)))
-            children.append(_Node(node.first, 1))
+            children.append(_Node(node.first, 1, node.whole))
         else:
             half = node.n // 2
             cuts.append((i, node.dim, *node.cut, len(children), len(children) + 1))
-            children += [_Node(node.first, half), _Node(node.first + half, node.n - half)]
+            children += [_Node(node.first, half, node.whole), _Node(node.first + half, node.n - half, node.whole)]
     table = F.broadcast(small_frame(spark, cuts, "_node int, _dim int, _v long, _g long, _d long, _left int, _right int"))
     value = _pick(dims)
     left = (value < F.col("_v")) | ((value == F.col("_v")) & (
