@@ -17,7 +17,7 @@ admits: a few central members first, more in each round. Pairs inside a componen
 
 Defined results: null is the empty text; documents without a word are one class per equal text; fewer than five words make one
 shingle. One row per document row; the kept document of a class is its smallest doc_id (repeated rows of it are all kept). A document
-without an id is kept. Ids are expected to name one text; of several texts under one id, any one stands for it in tests.
+without an id is kept; it is in the class of its text like any other, and a class without any id is named by a number from 2^62 on. Ids are expected to name one text; of several texts under one id, any one stands for it in tests.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPARE = 3.0
 #: Bits of a shingle's hash; the other bits of a word hold its document's number in a slice.
 _HASH_BITS = 47
+#: Nodes of texts without an id begin here; ids are expected to be smaller.
+NO_ID = 1 << 62
 
 
 def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs: int, places: int) -> np.ndarray:
@@ -115,8 +117,15 @@ def _bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (own >> np.uint64(_HASH_BITS)).astype(np.int64), own & np.uint64((1 << _HASH_BITS) - 1), np.diff(np.append(first, len(packed)))
 
 
+def nodes(docs: DataFrame) -> DataFrame:
+    """node, doc_id and text of every row. A node is the doc_id; a text without one gets a number of its own beyond all ids."""
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, own).alias("node"), doc_id.alias("doc_id"), "text")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, weight (number of shingles), two digests of the shingle multiset and the band keys of every document row."""
+    """node, doc_id, weight (number of shingles), two digests of the shingle multiset and the band keys of every document row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +139,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
                     cut = np.searchsorted(doc, np.arange(n + 1))
                     digests.append((sums[cut[1:]] - sums[cut[:-1]]).view(np.int64))
-                raw = np.asarray(batch.column(2).slice(first, n))
+                raw = np.asarray(batch.column(3).slice(first, n))
                 digests[0] = np.where(weight > 0, digests[0], raw)
                 full = np.flatnonzero(weight)
                 place = np.cumsum(weight > 0) - 1
@@ -138,12 +147,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sizes = np.where(weight > 0, BANDS, 0)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, n), pa.array(weight, pa.int64()), pa.array(digests[0], pa.int64()), pa.array(digests[1], pa.int64()), bands,
-                ], ["doc_id", "weight", "d1", "d2", "bands"])
+                    batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(weight, pa.int64()),
+                    pa.array(digests[0], pa.int64()), pa.array(digests[1], pa.int64()), bands,
+                ], ["node", "doc_id", "weight", "d1", "d2", "bands"])
 
     raw = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", raw.alias("raw"))
-    return low.mapInArrow(sketch, "doc_id long, weight long, d1 long, d2 long, bands array<long>")
+    low = nodes(docs).withColumn("raw", raw)
+    return low.mapInArrow(sketch, "node long, doc_id long, weight long, d1 long, d2 long, bands array<long>")
 
 
 def similarities(pairs: DataFrame) -> DataFrame:
@@ -176,10 +186,10 @@ def similarities(pairs: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Stored pairs (a, b) with similarity 0.8 or more. Only texts of documents that are in a pair are moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = prune_to_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id")
-    texts = texts.dropDuplicates(["doc_id"])
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    texts = prune_to_ids(nodes(docs).select("node", "text"), ids, "node")
+    texts = texts.dropDuplicates(["node"])
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     compared = similarities(pairs.join(left, "a").join(right, "b"))
     return pin(compared.where(F.col("similarity") >= SIMILARITY), "links")
 
@@ -213,7 +223,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, kept."""
     rows = pin(sketches(docs), "sketches")
     bag = ["d1", "d2", "weight"]
-    same = pin(rows.groupBy(*bag).agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "bags")
+    same = pin(rows.groupBy(*bag).agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "bags")
     banded = same.where(F.size("bands") > 0).select("rep", "weight", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = pin(banded.join(hubs.select("key", "hub"), "key"), "members")
@@ -265,10 +275,10 @@ def _prefix_members(members: DataFrame, comps: DataFrame, docs: DataFrame) -> Da
     """Members (key, rep, weight, weight before the key) of the prefix filter's buckets: documents of band buckets that hold several components."""
     placed = _placed(members, comps)
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    held = pin(placed.join(several.select("key"), "key").select(F.col("rep").alias("doc_id")).distinct(), "held")
-    texts = prune_to_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), held, "doc_id")
-    texts = texts.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bags = pin(shingles(texts.select(F.col("doc_id").alias("rep"), "text")), "shingles")
+    held = pin(placed.join(several.select("key"), "key").select(F.col("rep").alias("node")).distinct(), "held")
+    texts = prune_to_ids(nodes(docs).select("node", "text"), held, "node")
+    texts = texts.join(held, "node", "left_semi").dropDuplicates(["node"])
+    bags = pin(shingles(texts.select(F.col("node").alias("rep"), "text")), "shingles")
     ranked = bags.join(bags.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), "key")
     before = F.sum("n").over(Window.partitionBy("rep").orderBy("docs", "key")) - F.col("n")
     ranked = ranked.withColumn("before", before).where((F.col("before") <= (1 - SIMILARITY) * F.col("weight") + 1e-6) & (F.col("docs") > 1))
