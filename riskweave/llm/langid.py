@@ -4,7 +4,7 @@ Each direction is a gated recurrent unit whose gates use piecewise linear activa
 product and clips over thousands of segments at once. Both states give the label probabilities of every byte position;
 a document's probabilities are their mean over all positions of its whole text. The network is trained in numpy by
 backpropagation through time on the driver, on a bounded sample of labelled rows: ``SAMPLE_DOCS`` documents of each language by hash
-order, ``SAMPLE_SEGMENTS`` segments of each. Rows with crc32(doc_id) mod 5 = 0 and null languages are never learned from.
+order (of different rows: repeated ones count once), ``SAMPLE_SEGMENTS`` segments of each. Labels name few languages. Rows with crc32(doc_id) mod 5 = 0 and null languages are never learned from.
 
 Texts are read in segments of at most ``STEPS`` bytes; the state starts anew in each, so a long text is many rows of the batch.
 
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import text_slices
 
 HIDDEN, STEPS = 8, 64
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 400, 6
+SAMPLE_DOCS, SAMPLE_SEGMENTS, SAMPLE_PARTS = 400, 6, 256
 EPOCHS, BATCH, RATE = 5, 128, 0.02
 UNKNOWN = "und"
-_SLICE, _ROWS = 2 << 20, 2048
+_SLICE, _ROWS = 1 << 18, 2048
 
 
 def held_out() -> Column:
@@ -200,10 +200,16 @@ def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray)
 
 def training_segments(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """The bounded sample: segments at evenly spaced places of the first documents of each language by hash order."""
-    usable = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct()
-    texts = docs.join(F.broadcast(chosen), "doc_id").where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "lang", "text")
+    text_hash = F.xxhash64("text")
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "lang", text_hash.alias("_h"))
+    order = [F.xxhash64("doc_id", "_h"), "doc_id", "_h"]
+    # First within parts of a language, so that no task gets a large language whole.
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("_h", "doc_id"), F.lit(SAMPLE_PARTS))).orderBy(*order)
+    few = usable.withColumn("_n", F.row_number().over(parts)).where(F.col("_n") <= SAMPLE_DOCS)
+    chosen = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= SAMPLE_DOCS)
+    chosen = F.broadcast(chosen.select("doc_id", "lang", "_h").distinct())  # at most SAMPLE_DOCS rows a language
+    texts = docs.withColumn("_h", text_hash).join(chosen, ["doc_id", "lang", "_h"]).select("doc_id", "lang", "_h", "text")
+    texts = texts.groupBy("doc_id", "lang", "_h").agg(F.min("text").alias("text"))  # repeated rows are one
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
