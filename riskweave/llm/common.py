@@ -12,9 +12,22 @@ from pyspark.sql import functions as F
 #: Bits of the fixed-size id filter of ``prune_to_ids``: its two columns never exceed 65,536 rows.
 FILTER_BITS = 22
 SLICE_ROWS = 1 << 17
+BATCH_BYTES, _BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark) -> None:
+    """Rows of whole texts go to Python in Arrow batches of about ``BATCH_BYTES``, whatever their number; a lower setting is kept.
+
+    Both ends hold a batch in memory, and a stage of the corpus that follows another finds the workers of the one before still
+    there. The setting belongs to the session, as plans are run after the call that made them has returned.
+    """
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is None or (now.isdigit() and int(now) > BATCH_BYTES):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -32,7 +32,7 @@ from riskweave.session import pin
 
 END_ID = 0
 CAPACITY = 2048
-_SLICE = 2 << 20
+_SLICE = 1 << 18
 
 
 @dataclass
