@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import bagminhash, decontam, exact, langid, packing
+from riskweave.llm.common import bound_batches
 from riskweave.llm.queries import TOKENIZER
 from riskweave.session import pin
 
@@ -23,6 +24,7 @@ ROW = "_corpus_row"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = docs.withColumn(ROW, F.monotonically_increasing_id())
     net = langid.fit(docs)
     if net is None:  # no labels to learn from: nothing tells languages apart, but letters do tell text
@@ -47,11 +49,13 @@ def _by_row(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = _numbered(docs)
     return _without(docs, exact.exact_groups(docs, key=ROW).where("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = _numbered(docs)
     classes = bagminhash.near_duplicate_classes(_by_row(docs)).where("class_size > 1").select(F.col("doc_id").alias(ROW), "class_id")
     members = pin(docs.select("doc_id", ROW).join(classes, ROW), "near-members")
@@ -61,12 +65,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = _numbered(docs)
     found = decontam.contaminated(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.select(F.col("doc_id").alias(ROW)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack_documents(docs.drop(ROW), TOKENIZER)
 
 
