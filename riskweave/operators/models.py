@@ -148,7 +148,12 @@ def fit_model(
     weighted = class_weights(ready, "_label", weights)
     if row_id:
         weighted = weighted.withColumn("_validation", F.pmod(F.xxhash64(row_id), F.lit(1000)) < int(1000 * validation_share))
-    return ScoringModel(name, build(numeric, categorical).fit(weighted), tuple(numeric), tuple(categorical), fills)
+    pipeline = build(numeric, categorical)
+    for stage in pipeline.getStages():
+        if isinstance(stage, GBTClassifier) and categorical:  # a category needs a bin of its own, and one more for values not seen
+            counts = ready.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first()
+            stage.setMaxBins(max(stage.getMaxBins(), max(counts) + 1))
+    return ScoringModel(name, pipeline.fit(weighted), tuple(numeric), tuple(categorical), fills)
 
 
 def fraud_detector(df: DataFrame, label: str = "label", iterations: int = 400) -> ScoringModel:

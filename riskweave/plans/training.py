@@ -11,7 +11,7 @@ from riskweave.operators import models as md
 from riskweave.operators import splits as s
 from riskweave.plans.cases import _SCORED, _STATE, _GUARD
 from riskweave.plans.features import _DISTINCT, _HOUR
-from riskweave.plans.metrics import _CHAIN_COUNTS, _CHAIN_REPORT, _CHAIN_ROWS, _CHAINS, _TRAIN_ROWS, train_rows
+from riskweave.plans.metrics import _CHAIN_COUNTS, _CHAIN_REPORT, _CHAIN_ROWS, _CHAINS, _SPLIT_SQL, _TRAIN_ROWS, train_rows
 from riskweave.plans.registry import Tables, query
 from riskweave.plans.views import with_views
 from riskweave.session import pin, scratch_path
@@ -80,6 +80,21 @@ def _(t: Tables):
     return readers.dataset_fingerprint(t("lineitem"))
 
 
+@query("S8_fingerprint_contract", "SELECT count(*) AS rows, true AS same_in_any_order, true AS sees_a_repeated_row, true AS sees_a_changed_value FROM lineitem")
+def _(t: Tables):
+    """What the fingerprint promises: the number of rows, no matter their order, and any copy or change shows."""
+    rows = t("lineitem")
+    one = rows.orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(1)
+    dealt = rows.repartition(7, "l_partkey").sortWithinPartitions("l_shipdate")
+    changed = rows.withColumn("l_quantity", F.when(F.col("l_orderkey") == F.lit(one.first()["l_orderkey"]), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    first, *others = [readers.dataset_fingerprint(r) for r in (rows, dealt, rows.unionByName(one), changed)]
+    marks = [c for c in first.columns if c != "rows"]
+    for k, other in enumerate(others):
+        first = first.crossJoin(F.broadcast(other.select(F.struct(*marks).alias(f"_{k}"))))  # one row each
+    own = F.struct(*marks)
+    return first.select("rows", (own == F.col("_0")).alias("same_in_any_order"), (own != F.col("_1")).alias("sees_a_repeated_row"), (own != F.col("_2")).alias("sees_a_changed_value"))
+
+
 # ---------------------------------------------------------------- models
 
 _NUMERIC = ("v1", "v2", "v3", "amount_log", "hour_sin", "hour_cos")
@@ -96,8 +111,8 @@ def card_splits(t: Tables):
     return pin(s.chronological_split(card, "time_s", "row_id", label="class"), "card")
 
 
-def _fit(kind: str, train, iterations: int):
-    build = {"logistic": lambda n, c: md.logistic_stages(n, c, iterations), "boosted": lambda n, c: md.boosted_stages(n, c, iterations, depth=3)}[kind]
+def _fit(kind: str, train):
+    build = {"logistic": md.logistic_stages, "boosted": md.boosted_stages}[kind]
     return md.fit_model(kind, train, "class", _NUMERIC, ("band",), build)
 
 
@@ -108,22 +123,44 @@ def _part(rows, name: str):
 @query("T1_logistic_pipeline")
 def _(t: Tables):
     rows = card_splits(t)
-    return _fit("logistic", _part(rows, "train"), 20).score(_part(rows, "test"), ["row_id", "class"])
+    return _fit("logistic", _part(rows, "train")).score(_part(rows, "test"), ["row_id", "class"])
 
 
 @query("T2_boosted_pipeline")
 def _(t: Tables):
     rows = card_splits(t)
-    return _fit("boosted", _part(rows, "train"), 3).score(_part(rows, "test"), ["row_id", "class"])
+    return _fit("boosted", _part(rows, "train")).score(_part(rows, "test"), ["row_id", "class"])
 
 
-@query("T4_T5_T9_select_calibrate_and_score")
-def _(t: Tables):
+def _selected_and_scored(t: Tables):
+    """(scored test rows, the frozen choice) of the two candidates."""
     rows = card_splits(t)
     train = _part(rows, "train")
-    candidates = {"logistic": _fit("logistic", train, 20), "boosted": _fit("boosted", train, 3)}
+    candidates = {"logistic": _fit("logistic", train), "boosted": _fit("boosted", train)}
     chosen = md.select_by_validation(candidates, _part(rows, "validation"), "class", "row_id", fpr_cap=0.02, calibrate=True)
-    return md.score_events(_part(rows, "test"), chosen, ["row_id", "class"])
+    return md.score_events(_part(rows, "test"), chosen, ["row_id", "class"]), chosen
+
+
+@query("T4_T5_T9_select_calibrate_and_score")
+def _(t: Tables):
+    return _selected_and_scored(t)[0]
+
+
+# What SQL can say about scores of a trained model: which rows, in which range, and that flag and action follow from score and threshold.
+_ACTION = (
+    "CASE WHEN risk_score < 45e-2 * {t} THEN 'allow' WHEN risk_score < {t} THEN 'monitor' WHEN risk_score < least(82e-2, {t} + 14e-2) THEN 'step_up' "
+    "WHEN risk_score < 95e-2 THEN 'hold' ELSE 'block' END")
+
+
+@query("T9_score_contract", with_views(
+    "SELECT row_id, class, true AS score_in_range, true AS flag_follows, true AS action_follows FROM s WHERE split = 'test'", "card_tx", s=_SPLIT_SQL))
+def _(t: Tables):
+    scored, chosen = _selected_and_scored(t)
+    cut = F.lit(chosen.threshold)
+    action = F.expr(_ACTION.format(t=f"CAST({chosen.threshold!r} AS DOUBLE)"))
+    return scored.select(
+        "row_id", "class", F.col("risk_score").between(0, 1).alias("score_in_range"), (F.col("predicted_fraud") == (F.col("risk_score") >= cut)).alias("flag_follows"),
+        (F.col("mitigation_action") == action).alias("action_follows"))
 
 
 def chain_rows(t: Tables):
@@ -137,24 +174,34 @@ def chain_features(rows):
     return h.chain_feature_frame(rows, "event_ts", keep=[*[c for c in md.CHAIN_META if c != "event_id"], "group_key"])
 
 
-def small_detector(rows):
-    return md.fraud_detector(rows, iterations=2)
-
-
 @query("T3_fraud_detector")
 def _(t: Tables):
     rows = pin(chain_features(chain_rows(t)), "chains")
-    model = small_detector(rows)
+    model = md.fraud_detector(rows)
     path = scratch_path(t.spark, "detector")
     model.save(path)
     again = md.ScoringModel.load(t.spark, path, d.CHAIN_NUMERIC_FEATURES, d.CHAIN_CATEGORICAL_FEATURES)
     return again.score(rows, ["event_id", "label"])
 
 
+@query("T3_score_contract", with_views(
+    "SELECT event_id, CAST(is_attack AND fraud_contributing AS INT) AS label, true AS score_in_range, true AS same_when_loaded FROM truth", "truth"))
+def _(t: Tables):
+    rows = pin(chain_features(chain_rows(t)), "chains")
+    model, path = md.fraud_detector(rows), scratch_path(t.spark, "detector")
+    model.save(path)
+    again = md.ScoringModel.load(t.spark, path, d.CHAIN_NUMERIC_FEATURES, d.CHAIN_CATEGORICAL_FEATURES)
+    both = model.score(rows, ["event_id", "label"]).join(
+        again.score(rows, ["event_id"]).select("event_id", F.col("risk_score").alias("loaded")), "event_id")
+    return both.select(
+        "event_id", F.col("label").cast("int").alias("label"), F.col("risk_score").between(0, 1).alias("score_in_range"),
+        (F.col("risk_score") == F.col("loaded")).alias("same_when_loaded"))
+
+
 @query("T6_cross_validate")
 def _(t: Tables):
     rows = chain_features(chain_rows(t))
-    return m.fold_aggregate(md.cross_validate(rows, small_detector, test_share=0.5, alert_rate=0.05), md.FOLD_METRICS)
+    return m.fold_aggregate(md.cross_validate(rows, md.fraud_detector), md.FOLD_METRICS)
 
 
 _OLD = _TRAIN_ROWS.replace("risk_score >= 5e-1 AS alert", "risk_score >= 62e-2 AS alert")
@@ -178,7 +225,7 @@ def _(t: Tables):
 def _(t: Tables):
     root = scratch_path(t.spark, "champion")
     rows = chain_rows(t)
-    md.retrain_generation(t.spark, [rows], root, 1, chain_features, small_detector, alert_rate=0.05, test_share=0.5)
+    md.retrain_generation(t.spark, [rows], root, 1, chain_features, md.fraud_detector)
     version = writers.current_version(t.spark, root)
     champion = md.ScoringModel.load(t.spark, f"{root}/{version}", d.CHAIN_NUMERIC_FEATURES, d.CHAIN_CATEGORICAL_FEATURES)
     scored = champion.score(chain_features(rows), ["event_id", "label"])
