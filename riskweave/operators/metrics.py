@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.domains import WILSON_Z
-from riskweave.operators.ordered import Running, global_rank, group_rank, running, score_curve
+from riskweave.operators.ordered import Running, global_rank, group_rank, ordered_segments, running, score_curve
+from riskweave.session import pin
 
 
 def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
@@ -247,31 +249,61 @@ def wilson_interval(successes: Column, total: Column) -> tuple[Column, Column]:
     return F.when(total > 0, low), F.when(total > 0, high)
 
 
-def _poisson_one(u: Column) -> Column:
-    """Inverse distribution of a Poisson(1) count for a uniform number."""
-    cumulative, term, out = 0.0, math.exp(-1.0), None
-    for k in range(12):
-        cumulative += term
-        out = F.when(u < cumulative, F.lit(k)) if out is None else out.when(u < cumulative, F.lit(k))
-        term /= k + 1
-    return out.otherwise(F.lit(12))
+#: Cells of a segment that are drawn and summed at once.
+_DRAWN = 1 << 12
 
 
-def bootstrap_pr_auc(df: DataFrame, score: str, label: str, row_id: str, repeats: int = 200, seed: int = 0) -> DataFrame:
+def cell_draws(scores: np.ndarray, counts: np.ndarray, repeats: int, seed: int) -> np.ndarray:
+    """(cells, 2, repeats) Poisson counts with the cells' positives and negatives as means, by score and seed alone."""
+    out = np.empty((len(scores), 2, repeats))
+    for i, (key, mean) in enumerate(zip((scores + 0.0).view(np.uint64).tolist(), counts, strict=True)):
+        out[i] = np.random.Generator(np.random.Philox(key=[seed, key])).poisson(mean[:, None], (2, repeats))
+    return out
+
+
+def _drawn(cells: pd.DataFrame, repeats: int, seed: int) -> Iterator[np.ndarray]:
+    cells = cells.sort_values("_pos")
+    for k in range(0, len(cells), _DRAWN):
+        part = cells.iloc[k:k + _DRAWN]
+        yield cell_draws(part["score"].to_numpy(np.float64), part[["pos", "neg"]].to_numpy(np.float64), repeats, seed)
+
+
+def bootstrap_pr_auc(df: DataFrame, score: str, label: str, row_id: str | None = None, repeats: int = 200, seed: int = 0) -> DataFrame:
     """Percentile bootstrap of the average precision.
 
-    Each (row, replicate) gets a Poisson(1) weight from a hash of row id, replicate and seed, the
-    distributed form of resampling each class with replacement. Weights are summed per score before
-    any shuffle, and rows of weight zero are dropped at once.
+    A row weighs Poisson(1) in a replicate, the distributed form of resampling each class with replacement; rows of one score and
+    class are drawn together, as the sum of n such weights is Poisson(n). So the table of distinct scores is sorted once, and every
+    segment of it handles all replicates as arrays: first its totals, then, with the totals of the segments before, its part of
+    each replicate's step sum. ``row_id`` is not needed and kept for callers that name it.
     """
-    uniform = F.pmod(F.xxhash64(F.col(row_id), F.col("replicate"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    draws = (
-        df.select(row_id, score, label, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("replicate"))
-        .withColumn("_w", _poisson_one(uniform))
-        .where(F.col("_w") > 0)
-    )
-    curve = score_curve(draws, score, label, ["replicate"], F.col("_w"))
-    estimates = curve_average_precision(curve, ["replicate"])
+    scored = df.where(F.col(score).isNotNull())
+    hit = F.col(label).cast("boolean")
+    cells = scored.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(hit).alias("pos"), (F.count(F.lit(1)) - F.count_if(hit)).alias("neg"))
+    cells = ordered_segments(cells, [F.col("score").desc()])
+
+    def totals(cells: pd.DataFrame) -> pd.DataFrame:
+        both = sum(d.sum(axis=0) for d in _drawn(cells, repeats, seed))
+        return pd.DataFrame({"_seg": cells["_seg"].iloc[0], "replicate": np.arange(repeats), "tp": both[0], "fp": both[1]})
+
+    sums = pin(cells.groupBy("_seg").applyInPandas(totals, "_seg long, replicate int, tp double, fp double"), "bootstrap-totals")
+    before = Window.partitionBy("replicate").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    carries = sums.select(
+        F.col("_seg").alias("_of"), "replicate", F.coalesce(F.sum("tp").over(before), zero).alias("tp"), F.coalesce(F.sum("fp").over(before), zero).alias("fp"))
+
+    def steps(cells: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        carry = carry.sort_values("replicate")
+        seen, part = carry[["tp", "fp"]].to_numpy().T, np.zeros(repeats)
+        for draws in _drawn(cells, repeats, seed):
+            running = seen + np.cumsum(draws, axis=0)
+            part += (draws[:, 0] * running[:, 0] / np.maximum(running.sum(axis=1), 1)).sum(axis=0)
+            seen = running[-1]
+        return pd.DataFrame({"replicate": np.arange(repeats), "part": part})
+
+    parts = cells.groupBy("_seg").cogroup(carries.groupBy("_of")).applyInPandas(steps, "replicate int, part double")
+    classes = sums.groupBy("replicate").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    estimates = parts.groupBy("replicate").agg(F.sum("part").alias("part")).join(classes, "replicate").select(
+        F.when((F.col("tp") > 0) & (F.col("fp") > 0), F.round(F.col("part") / F.col("tp"), 6)).alias("pr_auc"))
     # One value per replicate: the sort below holds at most ``repeats`` numbers.
     return estimates.agg(
         F.round(F.percentile("pr_auc", F.lit(0.025)), 6).alias("pr_auc_low"),

@@ -128,6 +128,11 @@ def _segments(df: DataFrame, keys, order, rows: int | None) -> DataFrame:
     return pin(placed, "segments").withColumn("_seg", F.shiftright("_pos", 33))
 
 
+def ordered_segments(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The table in a whole order, stored: ``_seg`` numbers its segments, ``_pos`` orders the rows."""
+    return _segments(df, [], order, None)
+
+
 def _segmented(df: DataFrame, keys, order, aggs, rows: int | None) -> DataFrame:
     columns = df.columns
     inputs = {f"_in_{name}": agg.expr for name, agg in aggs.items() if agg.expr is not None}

@@ -69,6 +69,31 @@ def test_bootstrap_interval_brackets_the_estimate_and_repeats(spark):
     assert first == m.bootstrap_pr_auc(df.repartition(7), "score", "y", "id", 60, seed=1).first()
 
 
+@pytest.mark.parametrize("drawn", [3, 4096])
+def test_bootstrap_equals_a_plain_loop_over_the_same_draws(spark, monkeypatch, drawn):
+    monkeypatch.setattr(m, "_DRAWN", drawn)
+    rng = np.random.default_rng(2)
+    pairs = [(round(rng.random(), 2), int(rng.random() < 0.3)) for _ in range(300)]
+    cells = {}
+    for s, y in pairs:
+        pos, neg = cells.get(s, (0, 0))
+        cells[s] = (pos + y, neg + 1 - y)
+    order = sorted(cells, reverse=True)
+    draws = m.cell_draws(np.array(order), np.array([cells[s] for s in order], float), 40, 7)
+    areas = []
+    for b in range(40):
+        tp = fp = area = 0.0
+        for pos, neg in draws[:, :, b]:
+            tp, fp = tp + pos, fp + neg
+            area += pos * tp / max(tp + fp, 1)
+        areas.append(round(area / tp, 6))
+    got = m.bootstrap_pr_auc(scores(spark, pairs), "score", "y", "id", 40, seed=7).first()
+    assert got["replicates"] == 40
+    assert (got["pr_auc_low"], got["pr_auc_high"]) == (pytest.approx(np.percentile(areas, 2.5), abs=2e-6), pytest.approx(np.percentile(areas, 97.5), abs=2e-6))
+    assert m.bootstrap_pr_auc(scores(spark, [(0.5, 1), (0.4, 1)]), "score", "y", "id", 5).first()["replicates"] == 0
+    assert m.bootstrap_pr_auc(scores(spark, pairs).limit(0), "score", "y", "id", 5).first()["replicates"] == 0
+
+
 def test_folds_keep_groups_whole_and_balance_strata(spark):
     df = spark.range(600).select((F.col("id") % 120).alias("g"), F.when(F.col("id") % 120 < 30, "A").alias("fam"))
     folds = s.group_folds(df, "g", "fam", 3)
