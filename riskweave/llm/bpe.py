@@ -160,3 +160,8 @@ def encoder(shared) -> WordEncoder:
         _ENCODERS.clear()
         _ENCODERS[key] = WordEncoder(shared.value)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Let go of the worker's encoder: workers are kept between stages, and a stage without tokens needs its memory."""
+    _ENCODERS.clear()

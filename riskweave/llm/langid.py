@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.llm import bpe
 from riskweave.llm.common import text_slices
+from riskweave.session import pin
 
 HIDDEN, STEPS = 8, 64
-SAMPLE_DOCS, SAMPLE_SEGMENTS, SAMPLE_PARTS = 400, 6, 256
+SAMPLE_DOCS, SAMPLE_SEGMENTS, SAMPLE_BITS = 400, 6, (8, 18)
 EPOCHS, BATCH, RATE = 5, 128, 0.02
 UNKNOWN = "und"
 _SLICE, _ROWS = 1 << 18, 2048
@@ -198,15 +200,25 @@ def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray)
     return total / np.maximum(sizes, 1)[:, None]
 
 
+def _lowest(rows: DataFrame, shift: int) -> DataFrame:
+    """Rows of the lowest buckets of ``_n`` that hold ``SAMPLE_DOCS`` rows of their language together."""
+    bucket = F.shiftright("_n", shift)
+    counts = rows.groupBy("lang", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("lang").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    last = counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < SAMPLE_DOCS).groupBy("lang").agg(F.max("_bucket").alias("_last"))
+    return rows.join(F.broadcast(last), "lang").where(bucket <= F.col("_last")).drop("_last")  # one row a language
+
+
 def training_segments(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """The bounded sample: segments at evenly spaced places of the first documents of each language by hash order."""
     text_hash = F.xxhash64("text")
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "lang", text_hash.alias("_h"))
-    order = [F.xxhash64("doc_id", "_h"), "doc_id", "_h"]
-    # First within parts of a language, so that no task gets a large language whole.
-    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("_h", "doc_id"), F.lit(SAMPLE_PARTS))).orderBy(*order)
-    few = usable.withColumn("_n", F.row_number().over(parts)).where(F.col("_n") <= SAMPLE_DOCS)
-    chosen = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= SAMPLE_DOCS)
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "lang", text_hash.alias("_h")).distinct()
+    usable = pin(usable.withColumn("_n", F.xxhash64("doc_id", "_h").bitwiseAND(F.lit((1 << 63) - 1))), "sample-hashes")
+    # Two passes over counted buckets of the hash leave little more than the sample, so no task gets a language whole.
+    for bits in SAMPLE_BITS:
+        usable = _lowest(usable, 63 - bits)
+    order = Window.partitionBy("lang").orderBy("_n", "doc_id", "_h")
+    chosen = usable.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= SAMPLE_DOCS)
     chosen = F.broadcast(chosen.select("doc_id", "lang", "_h").distinct())  # at most SAMPLE_DOCS rows a language
     texts = docs.withColumn("_h", text_hash).join(chosen, ["doc_id", "lang", "_h"]).select("doc_id", "lang", "_h", "text")
     texts = texts.groupBy("doc_id", "lang", "_h").agg(F.min("text").alias("text"))  # repeated rows are one
@@ -238,6 +250,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     names = [c for c in docs.columns if c != "_letters"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         net = shared.value
         for batch in batches:
             for first, end, data, offsets in text_slices(batch, "text", _SLICE):
