@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.llm import bpe
 from riskweave.llm.common import prune_to_ids, text_slices
 from riskweave.llm.words import mix, shingle_hashes, word_hashes
 from riskweave.session import pin
@@ -128,6 +129,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """node, doc_id, weight (number of shingles), two digests of the shingle multiset and the band keys of every document row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for batch in batches:
             for first, end, data, offsets in text_slices(batch, "text", _SLICE):
                 n = end - first
@@ -160,6 +162,7 @@ def similarities(pairs: DataFrame) -> DataFrame:
     """Exact weighted Jaccard similarity of pairs (a, b, text_a, text_b)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -260,6 +263,7 @@ def shingles(docs: DataFrame) -> DataFrame:
     """rep, weight (number of shingles), key (shingle) and n (its count) of documents (rep, text)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for batch in batches:
             for first, end, data, offsets in text_slices(batch, "text", _SLICE):
                 doc, h, count = _bags(data, offsets)
