@@ -1,11 +1,14 @@
-"""Drift over time and evaluation under late labels: Page-Hinkley, and prequential reports with a label embargo."""
+"""Drift over time and evaluation under late labels: Page-Hinkley, adaptive windows, prequential reports with a label embargo."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.operators.metrics import ratio
 from riskweave.operators.ordered import HotGroups, Running, find_hot, running, running_low
@@ -50,6 +53,80 @@ def first_drift(tested: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     ).select(*keys, "rows", "highest_statistic", *[F.col(f"_at.{o}").alias(f"first_{o}") for o in order])
 
 
+def rate_series(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, flag: Column) -> DataFrame:
+    """keys, period, rows and rate: the share of flagged rows of each key in each period; rows without a time or flag are left out."""
+    period = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    shaped = df.select(*keys, period.alias("period"), flag.cast("boolean").alias("_flag")).where("period IS NOT NULL AND _flag IS NOT NULL")
+    return shaped.groupBy(*keys, "period").agg(F.count(F.lit(1)).alias("rows"), (F.count_if("_flag") / F.count(F.lit(1))).alias("rate"))
+
+
+Window = list[tuple[float, int]]
+
+
+def adwin_step(window: Window, value: float, delta: float, most: int) -> tuple[Window, bool]:
+    """The adaptive window after one more value between 0 and 1, and whether older values were dropped.
+
+    The window is an exponential histogram, oldest bucket first: (sum, count) with counts that are powers of two, at most
+    ``most`` of each; when there are more, the two oldest become one of twice the count. As long as some cut between buckets
+    leaves two parts whose means differ by more than chance allows (a bound by Hoeffding with confidence ``delta`` over the
+    window's length), the oldest bucket goes. A window of n values has at most ``most`` * log2(n) buckets.
+    """
+    window, size = [*window, (value, 1)], 1
+    while True:
+        same = [i for i, (_, n) in enumerate(window) if n == size]
+        if len(same) <= most:
+            break
+        i = same[0]
+        window[i:i + 2] = [(window[i][0] + window[i + 1][0], 2 * size)]
+        size *= 2
+    dropped = False
+    while _can_be_cut(window, delta):
+        window, dropped = window[1:], True
+    return window, dropped
+
+
+def _can_be_cut(window: Window, delta: float) -> bool:
+    total, n = sum(s for s, _ in window), sum(c for _, c in window)
+    head, ahead = 0.0, 0
+    chance = math.log(4 * n / delta) / 2
+    for s, c in window[:-1]:
+        head, ahead = head + s, ahead + c
+        if abs(head / ahead - (total - head) / (n - ahead)) >= math.sqrt(chance * (1 / ahead + 1 / (n - ahead))):
+            return True
+    return False
+
+
+def adwin_fold(series: pd.DataFrame, value: str, window: Window, delta: float, most: int) -> tuple[pd.DataFrame, Window]:
+    """An ordered piece of one key's series with window_size, window_mean and drift, and the window after it. Null values add nothing."""
+    out = []
+    for x in series[value].tolist():
+        dropped = False
+        if x is not None and not math.isnan(x):
+            window, dropped = adwin_step(window, float(x), delta, most)
+        n = sum(c for _, c in window)
+        out.append((n, sum(s for s, _ in window) / n if n else None, dropped))
+    marks = pd.DataFrame(out, columns=["window_size", "window_mean", "drift"], index=series.index)
+    return pd.concat([series, marks], axis=1), window
+
+
+def adwin_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("window_size", T.LongType()), T.StructField("window_mean", T.DoubleType()), T.StructField("drift", T.BooleanType())])
+
+
+def adwin(series: DataFrame, keys: Sequence[str], order: str, value: str, delta: float = 0.002, most: int = 5) -> DataFrame:
+    """Adds window_size, window_mean and drift to every row of a series of rates, key by key in order.
+
+    The window of a value depends on every value before it, so a key's series is folded by one task. Fold rates of periods
+    (``rate_series``), not events: a series is then as long as time is, whatever the number of rows.
+    """
+    keys = list(keys)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        return adwin_fold(part.sort_values(order, kind="stable"), value, [], delta, most)[0]
+
+    return series.groupBy(*keys).applyInPandas(fold, adwin_schema(series.schema))
+
+
 def labels_known(
     df: DataFrame, ts: str, label: str, row_id: str, embargo_seconds: int, keys: Sequence[str] = (), hot: HotGroups | None = None
 ) -> DataFrame:

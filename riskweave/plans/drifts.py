@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import calibration as k
 from riskweave.operators import drift as x
+from riskweave.plans.graphs import recursive
 from riskweave.plans.registry import Tables, query
 from riskweave.plans.views import with_views
 
@@ -94,3 +95,29 @@ def _(t: Tables):
     """Two-day generations, each held out from the labels known at its start."""
     out = x.prequential_report(t("predictions"), "event_ts", "label_fraud", "risk_score", GENERATION, EMBARGO, THRESHOLD)
     return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "brier", "brier_of_known_rate")})
+
+
+# Share of first payments to a beneficiary, by rail and half day: it falls as accounts settle on their payees.
+_FIRST_USE = (
+    "SELECT event_id, payment_rail, event_ts, row_number() OVER (PARTITION BY sender_account_id, beneficiary_id ORDER BY event_ts, event_id) = 1 AS first_use FROM pay_events")
+HALF_DAY, CONFIDENCE, UNMERGED = 43_200, 0.05, 1_000
+
+
+@query("X11_adwin", recursive(with_views(
+    "SELECT payment_rail, period, rate, i - start + 1 AS window_size, (SELECT round(avg(rate), 9) FROM series s WHERE s.payment_rail = w.payment_rail AND s.i BETWEEN w.start AND w.i) AS window_mean, "
+    "start > previous AS drift FROM windows w JOIN series USING (payment_rail, i)",
+    "pay_events", first_use=_FIRST_USE,
+    series=f"SELECT payment_rail, epoch_us(event_ts) // {HALF_DAY * 1_000_000} AS period, avg(CAST(first_use AS INT)) AS rate, row_number() OVER (PARTITION BY payment_rail ORDER BY period) AS i FROM first_use GROUP BY payment_rail, period",
+    parts="SELECT a.payment_rail, a.i AS s, c.i AS c, b.i AS e, (c.p - a.p + a.rate) / (c.i - a.i + 1) AS m0, (b.p - c.p) / (b.i - c.i) AS m1 FROM (SELECT *, sum(rate) OVER (PARTITION BY payment_rail ORDER BY i) AS p FROM series) a "
+          "JOIN (SELECT *, sum(rate) OVER (PARTITION BY payment_rail ORDER BY i) AS p FROM series) c ON c.payment_rail = a.payment_rail AND c.i >= a.i "
+          "JOIN (SELECT *, sum(rate) OVER (PARTITION BY payment_rail ORDER BY i) AS p FROM series) b ON b.payment_rail = a.payment_rail AND b.i > c.i",
+    bad=f"SELECT DISTINCT payment_rail, s, e FROM parts WHERE abs(m0 - m1) >= sqrt(ln(4 * (e - s + 1) / {CONFIDENCE}) / 2 * (1 / CAST(c - s + 1 AS DOUBLE) + 1 / CAST(e - c AS DOUBLE)))",
+    fine="SELECT a.payment_rail, a.i AS s, b.i AS e FROM series a JOIN series b ON b.payment_rail = a.payment_rail AND b.i >= a.i WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.payment_rail = a.payment_rail AND bad.s = a.i AND bad.e = b.i)",
+    windows="SELECT DISTINCT payment_rail, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS start, CAST(1 AS BIGINT) AS previous FROM series UNION ALL "
+            "SELECT w.payment_rail, w.i + 1, min(f.s), any_value(w.start) FROM windows w JOIN fine f ON f.payment_rail = w.payment_rail AND f.e = w.i + 1 AND f.s >= w.start GROUP BY w.payment_rail, w.i")))
+def _(t: Tables):
+    """Adaptive windows over the share of first payments; without merged buckets, so that every cut is looked at."""
+    rows = t.spark.sql(_FIRST_USE.replace("FROM pay_events", "FROM {pay_events}"), pay_events=t("pay_events"))
+    series = x.rate_series(rows, ["payment_rail"], "event_ts", HALF_DAY, F.col("first_use"))
+    return x.adwin(series, ["payment_rail"], "period", "rate", CONFIDENCE, UNMERGED).select(
+        "payment_rail", "period", "rate", "window_size", F.round("window_mean", 9).alias("window_mean"), "drift")

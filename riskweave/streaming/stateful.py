@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.functions.scalar import attr
-from riskweave.operators import evidence, policy
+from riskweave.operators import drift, evidence, policy
 from riskweave.operators.history import DISTINCT_FIELDS, HOUR_MICROS
 from riskweave.operators.ordered import Running
 
@@ -214,6 +214,28 @@ def late_router(on_time: Callable[[DataFrame, int], None], late_path: str) -> Ca
     return route
 
 
+def stream_adwin(series: DataFrame, keys: Sequence[str], order: str, value: str, delta: float = 0.002, most: int = 5) -> DataFrame:
+    """The adaptive windows of the batch form over a stream of periods; a period not after the last one folded is ``late`` and adds nothing.
+
+    State is the window's buckets as two arrays, a few dozen numbers a key, and the last period. It never expires.
+    """
+    keys = list(keys)
+    schema = T.StructType([*drift.adwin_schema(series.schema).fields, T.StructField("late", T.BooleanType())])
+
+    def fold(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, sums, counts = state.get if state.exists else (None, [], [])
+        rows = pd.concat(list(chunks)).sort_values(order, kind="stable")  # one micro-batch of periods
+        late = (rows[order] <= last) if last is not None else pd.Series(False, index=rows.index)
+        late |= rows[order].duplicated()
+        known, window = drift.adwin_fold(rows[~late], value, list(zip(sums, counts, strict=True)), delta, most)
+        if len(known):
+            state.update((int(known[order].iloc[-1]), [float(s) for s, _ in window], [int(c) for _, c in window]))
+        yield pd.concat([known.assign(late=False), rows[late].assign(window_size=None, window_mean=None, drift=None, late=True)])[schema.names]
+
+    return series.groupBy(*keys).applyInPandasWithState(
+        fold, schema, "last LONG, sums ARRAY<DOUBLE>, counts ARRAY<LONG>", "append", GroupStateTimeout.NoTimeout)
+
+
 def label_log_writer(path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: one folder per batch, overwritten on a retry, so a batch is logged once."""
     def write(batch: DataFrame, batch_id: int) -> None:

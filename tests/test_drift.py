@@ -2,12 +2,15 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.operators import calibration as c
 from riskweave.operators import drift as x
+from riskweave.streaming import stateful as st
 
 START = datetime(2025, 2, 3)
 
@@ -160,3 +163,75 @@ def test_generations_learn_from_known_labels_only(spark):
         rate = sum(u[2] for u in train) / len(train) if train else None
         assert r["brier_of_known_rate"] == (None if rate is None else pytest.approx(sum((rate - u[2]) ** 2 for u in held) / len(held)))
     assert x.prequential_report(df.limit(0), "ts", "label", "score", 86_400, 43_200, 0.5).count() == 0
+
+
+def plain_windows(values, delta):
+    """Every cut of the raw window is looked at; the oldest value goes while one of them tells the parts apart."""
+    window, out = [], []
+    for v in values:
+        dropped = False
+        if v is not None:
+            window.append(v)
+            while any(
+                abs(sum(window[:k]) / k - sum(window[k:]) / (len(window) - k)) >= math.sqrt(math.log(4 * len(window) / delta) / 2 * (1 / k + 1 / (len(window) - k)))
+                for k in range(1, len(window))
+            ):
+                window, dropped = window[1:], True
+        out.append((len(window), sum(window) / len(window) if window else None, dropped))
+    return out
+
+
+def shifting(seed, n=160):
+    rng = random.Random(seed)
+    return [None if rng.random() < 0.05 else min(1.0, max(0.0, rng.gauss(0.2 if i < n // 2 else 0.8, 0.1))) for i in range(n)]
+
+
+def test_adaptive_windows_equal_the_plain_rule(spark):
+    rows = [(k, i, v) for k in ("a", "b") for i, v in enumerate(shifting(k))]
+    random.Random(1).shuffle(rows)
+    series = spark.createDataFrame(rows, "k string, period long, rate double")
+    got = {(r["k"], r["period"]): r for r in x.adwin(series, ["k"], "period", "rate", 0.05, most=1000).collect()}
+    for k in ("a", "b"):
+        want = plain_windows(shifting(k), 0.05)
+        for i, (size, mean, dropped) in enumerate(want):
+            r = got[k, i]
+            assert (r["window_size"], r["drift"]) == (size, dropped) and r["window_mean"] == (None if mean is None else pytest.approx(mean))
+        assert any(d for *_, d in want) and want[-1][0] < 120
+    assert x.adwin(series.limit(0), ["k"], "period", "rate").count() == 0
+
+
+def test_buckets_stay_few_and_see_the_same_shift():
+    window, drops = [], []
+    for i in range(3000):
+        window, dropped = x.adwin_step(window, 0.2 + 0.6 * (i >= 2000) + 0.001 * (i % 7), 0.002, 5)
+        drops += [i] if dropped else []
+        counts = [n for _, n in window]
+        assert len(window) <= 5 * (math.log2(i + 1) + 1) and counts == sorted(counts, reverse=True)
+    assert drops and 2000 <= drops[0] <= 2030 and sum(n for _, n in window) <= 1100
+
+
+def test_rates_of_periods(spark):
+    rows = [("a", START + timedelta(minutes=10 * i), None if i == 3 else i % 2 == 0) for i in range(9)] + [("a", None, True)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, flag boolean")
+    got = {r["period"] - int(START.timestamp() // 3600): (r["rows"], r["rate"]) for r in x.rate_series(df, ["k"], "ts", 3600, F.col("flag")).collect()}
+    assert sorted(got.values()) == sorted([(5, 0.6), (3, pytest.approx(2 / 3))])
+
+
+def test_windows_of_a_stream_equal_those_of_the_batch(spark, tmp_path):
+    values = [v if v is not None else 0.5 for v in shifting("s", 60)]
+    rows = [("a", i, v) for i, v in enumerate(values)]
+    parts = [rows[:13], rows[13:30] + [("a", 4, 0.9)], rows[30:31], rows[31:]]  # one period comes late
+    source = str(tmp_path / "series")
+    for part in parts:
+        spark.createDataFrame(part, "k string, period long, rate double").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema("k string, period long, rate double").option("maxFilesPerTrigger", 1).parquet(source)
+    out = st.run_available(st.stream_adwin(stream, ["k"], "period", "rate", 0.05), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    batch = {r["period"]: r for r in x.adwin(spark.createDataFrame(rows, "k string, period long, rate double"), ["k"], "period", "rate", 0.05).collect()}
+    late = [r for r in out if r["late"]]
+    assert [(r["period"], r["rate"], r["drift"]) for r in late] == [(4, 0.9, None)] and len(out) == 61
+    for r in out:
+        if not r["late"]:
+            b = batch[r["period"]]
+            assert (r["window_size"], r["drift"]) == (b["window_size"], b["drift"]) and r["window_mean"] == pytest.approx(b["window_mean"])
+    assert any(b["drift"] for b in batch.values())
