@@ -3,8 +3,8 @@
 Order and late data. Each micro-batch is sorted by (event time, tiebreak) inside a key before state
 moves on. An event that sorts before the last one already folded for its key is late: it is emitted with
 ``late = true`` and null running values, leaves the state alone, and ``late_router`` writes it to a
-side table. State of a key that stays silent for ``ttl`` of event time is dropped, so a chain that comes
-back later starts again; pick the ttl longer than the longest chain.
+side table. State is kept for good unless a ``ttl`` is given: then that of a key that stays silent for so much event time is
+dropped, and a chain that comes back later starts again.
 
 A key's rows of one micro-batch are folded by one task, so bound the micro-batch at the source
 (``maxFilesPerTrigger``, ``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
@@ -44,21 +44,28 @@ def _fold_block(values: np.ndarray, how: str, carry: np.ndarray) -> np.ndarray:
     return block
 
 
+def _millionths(amount: float) -> int:
+    return round(amount * 1e6)
+
+
 def _extend_hour(frame: pd.DataFrame, tail: list[list[float]]) -> tuple[list[int], list[float], list[list[float]]]:
     """Earlier rows within the hour and their amount, for each ordered row; the tail holds (time, amount)."""
     counts, sums, start = [], [], 0
+    held = sum(_millionths(a) for _, a in tail)  # whole numbers: what goes out is exactly what came in
     for us, amount in zip(frame["_us"], frame["_m"]):
         while start < len(tail) and tail[start][0] < us - HOUR_MICROS:
+            held -= _millionths(tail[start][1])
             start += 1
         counts.append(len(tail) - start)
-        sums.append(sum(a for _, a in tail[start:]) + amount)
+        held += _millionths(amount)
+        sums.append(held / 1e6)
         tail.append([int(us), float(amount)])
     return counts, sums, tail[start:]
 
 
 def stream_running(
     df: DataFrame, key: str, ts: str, tiebreak: str, aggs: Mapping[str, Running],
-    distinct: Mapping[str, str] | None = None, hour_amount: str | None = None, ttl: str = "7 days", watermark: str = "1 hour",
+    distinct: Mapping[str, str] | None = None, hour_amount: str | None = None, ttl: str | None = None, watermark: str = "1 hour",
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """The streaming counterpart of ``ordered.running``: numeric running values per key.
@@ -86,7 +93,7 @@ def stream_running(
     schema = T.StructType([
         *[df.schema[c] for c in kept], T.StructField("_values", T.ArrayType(T.DoubleType())), T.StructField("late", T.BooleanType()),
     ])
-    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    ttl_ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
     width = len(added)
 
     def values_of(frame: pd.DataFrame, memory: dict) -> np.ndarray:
@@ -133,9 +140,8 @@ def stream_running(
             tie = final[tiebreak]
             memory["last"] = [int(final["_us"]), tie if isinstance(tie, str) else int(tie)]
             state.update((json.dumps(memory),))
-        expires = memory["last"][0] // 1000 + ttl_ms
-        if expires > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expires)
+        if ttl_ms is not None:  # a time that has passed already is due at the next one the watermark reaches
+            state.setTimeoutTimestamp(max(memory["last"][0] // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         out = rows[kept].copy()
         out["_values"] = list(values)
         out["late"] = late

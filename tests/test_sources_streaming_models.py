@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -66,6 +67,28 @@ def test_stream_equals_batch_over_micro_batches_and_flags_late_rows(spark, tmp_p
     assert got[99]["late"] and got[99]["prior_event_count"] is None
 
 
+@pytest.mark.parametrize(("ttl", "back"), [(None, 3), ("7 days", 0)])
+def test_a_chain_that_was_silent_for_a_month_goes_on(spark, tmp_path, ttl, back):
+    """Chain c0 has half the rows and is silent from the second micro-batch to the fourth; a ttl forgets it."""
+    t0 = datetime(2026, 8, 1, 9)
+    parts = [
+        [(i, "c0", i, t0 + timedelta(minutes=i), 0.1, "b1", "d1") for i in range(3)] + [(10, "c1", 1, t0, 1.0, "b1", "d1")],
+        [(20, "c1", 2, t0 + timedelta(days=12), 1.0, "b2", "d1")],
+        [(30, "c1", 3, t0 + timedelta(days=25), 1.0, "b2", "d2")],
+        [(40, "c0", 3, t0 + timedelta(days=33), 0.2, "b2", "d1"), (41, "c1", 4, t0 + timedelta(days=33), 1.0, "b3", "d1")],
+    ]
+    source = str(tmp_path / "in")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    features = st.stream_point_in_time_features(stream, "chain_id", "event_ts", "event_id", watermark="1 hour", ttl=ttl)
+    got = {r["event_id"]: r for r in st.run_available(features, str(tmp_path / "out"), str(tmp_path / "state")).collect()}
+    assert len(got) == 8 and [got[i]["prior_event_count"] for i in (10, 20, 30, 41)] == [0, 1, 2, 3]
+    assert (got[40]["prior_event_count"], got[40]["events_last_hour"], got[40]["value_sum_last_hour_inr"]) == (back, 0, 0.2)
+    assert [got[i]["value_sum_last_hour_inr"] for i in range(3)] == [0.1, 0.2, 0.3]
+
+
 def test_model_round_trip_and_feature_check(spark, tmp_path):
     df = spark.range(400).select("id", (F.col("id") % 5).cast("double").alias("a"), F.lit(None).cast("double").alias("empty"),
                                  F.when(F.col("id") % 9 != 0, (F.col("id") % 3).cast("string")).alias("c"), (F.col("id") % 5 == 4).cast("int").alias("y"))
