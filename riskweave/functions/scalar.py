@@ -12,8 +12,12 @@ from riskweave import domains as d
 
 
 def attr(df: DataFrame, name: str, dtype: str) -> Column:
-    """The attribute column cast to ``dtype``, or a typed null when the table does not carry it."""
-    if name in df.columns:
+    """The attribute column cast to ``dtype``, or a typed null when the table does not carry it.
+
+    Booleans are strict: a column of another type is no flag, so neither 1 nor "yes" is true.
+    """
+    types = dict(df.dtypes)
+    if name in types and (dtype != "boolean" or types[name] == "boolean"):
         return F.col(name).try_cast(dtype)
     return F.lit(None).cast(dtype)
 

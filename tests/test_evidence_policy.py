@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave import domains as d
+from riskweave.functions import scalar
 from riskweave.operators import evidence as e
 from riskweave.operators import policy as g
 
@@ -180,3 +181,11 @@ def test_lane_matches_a_sequential_fold(spark):
             if action in d.ALERT_ACTIONS:
                 state = action
         assert got[case, seq] == action
+
+
+def test_only_booleans_are_true(spark):
+    """1, "yes" and "true" are neither verified markers nor signals."""
+    loose = spark.createDataFrame([(1, 1, "yes", "true", True)], "event_id long, a int, b string, c string, d boolean")
+    picked = loose.select(*[scalar.attr(loose, n, "boolean").alias(n) for n in "abcd"], scalar.attr(loose, "a", "double").alias("number")).first()
+    assert tuple(picked) == (None, None, None, True, 1.0)
+    assert loose.select(scalar.count_true(loose, ["a", "b", "c", "d"])).first()[0] == 1
