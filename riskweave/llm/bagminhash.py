@@ -8,7 +8,7 @@ all documents that have the shingle, so two places agree with probability sum(mi
 Points are drawn only up to the time by which all places of a document are filled, far fewer than shingles x places.
 
 Bands of places are hashed. Documents with the same shingle multiset are one class from the start. In each band bucket members
-are tested exactly against the bucket's smallest document. A passage that many unlike documents share also fills buckets,
+are tested exactly against the bucket's smallest document, a few bands at a time, unless the two are linked already. A passage that many unlike documents share also fills buckets,
 so documents of buckets with several components go on to buckets of a prefix filter: their shingles in order of frequency, rarest
 first, up to the first that takes the weight before it beyond a fifth of the document's. Two documents of similarity 0.8 differ in at
 most a fifth of either's weight, so their rarest common shingle is in both prefixes, and what follows it bounds their overlap. As long
@@ -36,6 +36,8 @@ from riskweave.session import pin
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Bands whose buckets are tested together. The first joins most of a large group, whose pairs in later bands need no test then.
+BAND_ROUNDS = ((0, 1), (1, 4), (4, BANDS))
 #: Members of a bucket outside its largest component that are tested in the first round; each round takes 8 times as many.
 FIRST_TESTED = 8
 _SLICE = 1 << 18
@@ -222,19 +224,34 @@ def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
     return pin(both.select(F.coalesce("node", "low").alias("node"), F.coalesce("comp", "low").alias("comp")), "labels")
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components; a node without links is a component of its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left")
+    return pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, kept."""
     rows = pin(sketches(docs), "sketches")
     bag = ["d1", "d2", "weight"]
     same = pin(rows.groupBy(*bag).agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "bags")
-    banded = same.where(F.size("bands") > 0).select("rep", "weight", F.explode("bands").alias("key"))
+    banded = same.where(F.size("bands") > 0).select("rep", "weight", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = pin(banded.join(hubs.select("key", "hub"), "key"), "members")
     comparable = F.least("weight", "weight_a") >= SIMILARITY * F.greatest("weight", "weight_a")
-    pairs = members.select(F.col("hub.rep").alias("a"), F.col("hub.weight").alias("weight_a"), F.col("rep").alias("b"), "weight")
-    tested = pin(pairs.where((F.col("a") != F.col("b")) & comparable).select("a", "b").distinct(), "tested")
-    links = verify(tested, docs)
-    comps = components(links)
+    pairs = members.select("band", F.col("hub.rep").alias("a"), F.col("hub.weight").alias("weight_a"), F.col("rep").alias("b"), "weight")
+    pairs = pairs.where((F.col("a") != F.col("b")) & comparable)
+    comps, tested = None, None
+    for first, end in BAND_ROUNDS:
+        fresh = pairs.where(F.col("band").between(first, end - 1)).select("a", "b").distinct()
+        fresh = pin(fresh if comps is None else _apart(fresh, comps).join(tested, ["a", "b"], "left_anti"), "tested")
+        found = verify(fresh, docs)
+        tested = fresh if tested is None else pin(tested.union(fresh), "tested")
+        if comps is None:
+            comps = components(found)
+        elif found.limit(1).count():
+            comps = _merged(comps, found)
     finer = _prefix_members(members.select("key", "rep", "weight"), comps, docs)
     done, open_, most = None, True, FIRST_TESTED  # done: (key, rep) tested against their whole bucket
     while open_:
