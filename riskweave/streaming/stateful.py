@@ -290,6 +290,7 @@ def run_latest(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: st
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    changed = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")  # there is a table even if nothing came
+    changed = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
     latest = changed.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
     return latest.select(*keys, *[F.col(f"_row.{v}").alias(v) for v in values])

@@ -67,6 +67,20 @@ def test_stream_equals_batch_over_micro_batches_and_flags_late_rows(spark, tmp_p
     assert got[99]["late"] and got[99]["prior_event_count"] is None
 
 
+def test_rollups_give_open_windows_and_survive_an_empty_source(spark, tmp_path):
+    t0 = datetime(2026, 8, 1, 9)
+    rows = [(t0 + timedelta(hours=h), h % 3 == 0, 1.5) for h in range(0, 60, 5)]
+    schema, source = "event_ts timestamp, label_fraud boolean, amount_inr double", str(tmp_path / "in")
+    for k, part in enumerate(([], rows[:5], rows[5:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        got = st.run_latest(st.stream_rollups(stream), ["window_start"], str(tmp_path / "out"), str(tmp_path / "state")).collect()
+        seen = [] if k == 0 else rows[:5] if k == 1 else rows
+        days = {d.replace(hour=0) for d, *_ in seen}
+        assert {(r["window_start"], r["legitimate"], r["fraud"]) for r in got} == {
+            (d, sum(x.date() == d.date() and not y for x, y, _ in seen), sum(x.date() == d.date() and y for x, y, _ in seen)) for d in days}
+
+
 @pytest.mark.parametrize(("ttl", "back"), [(None, 3), ("7 days", 0)])
 def test_a_chain_that_was_silent_for_a_month_goes_on(spark, tmp_path, ttl, back):
     """Chain c0 has half the rows and is silent from the second micro-batch to the fourth; a ttl forgets it."""
