@@ -242,6 +242,10 @@ def as_stream(t: Tables, rows):
     return t.spark.readStream.schema(rows.schema).parquet(path)
 
 
+#: All rows of a table come in one micro-batch, which touches every key.
+_BUCKETS = 1 << 14
+
+
 def run_stream(t: Tables, stream):
     return st.run_available(stream, scratch_path(t.spark, "stream-out"), scratch_path(t.spark, "stream-state"))
 
@@ -253,7 +257,7 @@ def run_stream(t: Tables, stream):
 def _(t: Tables):
     fields = t("evidence_events").select("event_id", "beneficiary_id", "device_id")
     rows = t("case_events").select("event_id", "event_ts", "case_id", "sequence", "amount_inr").join(fields, "event_id")
-    out = run_stream(t, st.stream_point_in_time_features(as_stream(t, rows), "case_id", "event_ts", "event_id"))
+    out = run_stream(t, st.stream_point_in_time_features(as_stream(t, rows), "case_id", "event_ts", "event_id", buckets=_BUCKETS))
     names = ["prior_event_count", "events_last_hour", "value_sum_last_hour_inr", "distinct_beneficiaries_prior", "distinct_devices_prior"]
     return out.select("event_id", *names, F.round("seconds_since_prev_event", 6).alias("seconds_since_prev_event"))
 

@@ -3,7 +3,7 @@
 Order and late data. Each micro-batch is sorted by (event time, tiebreak) inside a key before state
 moves on. An event that sorts before the last one already folded for its key is late: it is emitted with
 ``late = true`` and null running values, leaves the state alone, and ``late_router`` writes it to a
-side table. State is kept for good unless a ``ttl`` is given: then that of a key that stays silent for so much event time is
+side table; so is an event without a time. State is kept for good unless a ``ttl`` is given: then that of a key that stays silent for so much event time is
 dropped, and a chain that comes back later starts again.
 
 A key's rows of one micro-batch are folded by one task, so bound the micro-batch at the source
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,32 +48,52 @@ def _millionths(amount: float) -> int:
     return round(amount * 1e6)
 
 
-def _extend_hour(frame: pd.DataFrame, tail: list[list[float]]) -> tuple[list[int], list[float], list[list[float]]]:
-    """Earlier rows within the hour and their amount, for each ordered row; the tail holds (time, amount)."""
+def _extend_hour(events: Sequence[tuple[int, float]], tail: list[list[float]]) -> tuple[list[int], list[float], list[list[float]]]:
+    """Earlier rows within the hour and their amount, for each ordered (time, amount); the tail holds the same."""
     counts, sums, start = [], [], 0
     held = sum(_millionths(a) for _, a in tail)  # whole numbers: what goes out is exactly what came in
-    for us, amount in zip(frame["_us"], frame["_m"]):
+    for us, amount in events:
         while start < len(tail) and tail[start][0] < us - HOUR_MICROS:
             held -= _millionths(tail[start][1])
             start += 1
         counts.append(len(tail) - start)
         held += _millionths(amount)
         sums.append(held / 1e6)
-        tail.append([int(us), float(amount)])
+        tail.append([us, amount])
     return counts, sums, tail[start:]
 
 
+def _packed(columns: Sequence[tuple[str, T.DataType]]) -> tuple[Column, Callable[[Column], list[Column]]]:
+    """Columns as one JSON text, and how to read them from it. Times are microseconds there."""
+    def shaped(kind: T.DataType) -> T.DataType:
+        return T.LongType() if isinstance(kind, T.TimestampType) else kind
+
+    options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    whole = F.struct(*[(F.unix_micros(c) if isinstance(kind, T.TimestampType) else F.col(c)).alias(f"c{i}") for i, (c, kind) in enumerate(columns)])
+    schema = T.StructType([T.StructField(f"c{i}", shaped(kind)) for i, (_, kind) in enumerate(columns)])
+
+    def unpacked(text: Column) -> list[Column]:
+        row = F.from_json(text, schema, options)
+        return [(F.timestamp_micros(row[f"c{i}"]) if isinstance(kind, T.TimestampType) else row[f"c{i}"]).alias(c) for i, (c, kind) in enumerate(columns)]
+
+    return F.to_json(whole, options), unpacked
+
+
 def stream_running(
     df: DataFrame, key: str, ts: str, tiebreak: str, aggs: Mapping[str, Running],
     distinct: Mapping[str, str] | None = None, hour_amount: str | None = None, ttl: str | None = None, watermark: str = "1 hour",
-    keep: Sequence[str] | None = None,
+    keep: Sequence[str] | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """The streaming counterpart of ``ordered.running``: numeric running values per key.
 
     ``distinct`` maps output names to columns whose distinct earlier values are counted;
     ``hour_amount`` adds events_last_hour and value_sum_last_hour_inr. All values are doubles, NaN where
-    there is none. They cross to Python and back as one array per row; ``keep`` limits the event
-    columns that travel with them (key, time and tiebreak always do).
+    there is none. An event crosses to Python and back as one text; ``keep`` limits the event
+    columns that travel with it (key, time and tiebreak always do).
+
+    A call of Python per key costs far more than folding a few events. With ``buckets`` the keys are dealt to so many groups by
+    hash, and one call folds all keys of a group; each still has a state of its own. A group's state is stored as a whole when
+    one of its keys has events, so buckets suit micro-batches that touch many keys (a backfill), not a trickle.
     """
     distinct = dict(distinct or {})
     spec = {name: ("sum" if agg.how == "count" else agg.how, agg.current and agg.how != "lag") for name, agg in aggs.items()}
@@ -83,22 +103,24 @@ def stream_running(
     hourly = ["events_last_hour", "value_sum_last_hour_inr"] if hour_amount else []
     added = [*spec, *distinct, *hourly]
     kept = list(dict.fromkeys([key, ts, tiebreak, *(df.columns if keep is None else keep)]))
-    missing = F.lit(float("nan"))
-    inputs = [F.coalesce((F.lit(1) if a.how == "count" else a.expr).cast("double"), missing) for a in aggs.values()]
-    shaped = df.select(
-        *kept, F.array(*inputs).alias("_in"), F.array(*[attr(df, c, "string") for c in distinct.values()]).cast("array<string>").alias("_texts"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(ts).cast("timestamp").alias("_time"),
-        (F.coalesce(attr(df, hour_amount, "double"), F.lit(0.0)) if hour_amount else F.lit(0.0)).alias("_m"),
+    inputs = [(F.lit(1) if a.how == "count" else a.expr).cast("double") for a in aggs.values()]
+    event = F.struct(
+        (F.lit("") if buckets is None else F.col(key).cast("string")).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(tiebreak).alias("tie"),
+        F.array(*inputs).cast("array<double>").alias("given"), F.array(*[attr(df, c, "string") for c in distinct.values()]).cast("array<string>").alias("texts"),
+        (F.coalesce(attr(df, hour_amount, "double"), F.lit(0.0)) if hour_amount else F.lit(0.0)).alias("amount"),
+    )
+    passed, unpacked = _packed([(c, df.schema[c].dataType) for c in kept])
+    group = F.col(key) if buckets is None else F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("string")
+    shaped = df.select(  # JSON has no plain line break, so the first one parts the event from the columns that pass through
+        group.alias("_group"), F.concat_ws("\n", F.to_json(event), passed).alias("_event"), F.col(ts).cast("timestamp").alias("_time"),
     ).withWatermark("_time", watermark)
-    schema = T.StructType([
-        *[df.schema[c] for c in kept], T.StructField("_values", T.ArrayType(T.DoubleType())), T.StructField("late", T.BooleanType()),
-    ])
+    schema = "_kept string, _values array<double>, late boolean"
     ttl_ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
     width = len(added)
 
-    def values_of(frame: pd.DataFrame, memory: dict) -> np.ndarray:
-        out = np.full((len(frame), width), np.nan)
-        given = np.stack(frame["_in"].to_numpy())
+    def values_of(events: list[dict], memory: dict) -> np.ndarray:
+        out = np.full((len(events), width), np.nan)
+        given = np.array([e["given"] for e in events], dtype=float)
         carried = np.array(memory["carry"], dtype=float)
         for (how, current), places in groups.items():
             block = _fold_block(given[:, places], how, carried[places])
@@ -107,48 +129,64 @@ def stream_running(
         memory["carry"] = carried.tolist()
         for offset, name in enumerate(distinct):
             seen = set(memory["seen"][name])
-            for row, texts in enumerate(frame["_texts"]):
+            for row, e in enumerate(events):
                 out[row, len(spec) + offset] = len(seen)
-                if texts[offset] is not None:
-                    seen.add(texts[offset])
+                if e["texts"][offset] is not None:
+                    seen.add(e["texts"][offset])
             memory["seen"][name] = sorted(seen)
         if hour_amount:
-            counts, sums, memory["tail"] = _extend_hour(frame, memory["tail"])
+            counts, sums, memory["tail"] = _extend_hour([(e["us"], float(e["amount"])) for e in events], memory["tail"])
             out[:, width - 2], out[:, width - 1] = counts, np.round(sums, 2)
         return out
 
+    def fold_key(events: list[dict], memory: dict) -> tuple[list[dict], list, list[bool]]:
+        """Events in order, late ones and those without a time last; their values; which are late."""
+        last = memory["last"]
+        on_time = [e for e in events if "us" in e and (last is None or (e["us"], e["tie"]) > (last[0], last[1]))]
+        on_time.sort(key=lambda e: (e["us"], e["tie"]))
+        left = {id(e) for e in on_time}
+        late = [e for e in events if id(e) not in left]
+        values = values_of(on_time, memory).tolist() if on_time else []
+        if on_time:
+            memory["last"] = [on_time[-1]["us"], on_time[-1]["tie"]]
+        return on_time + late, values + [[np.nan] * width] * len(late), [False] * len(on_time) + [True] * len(late)
+
     def fold(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # The serializer joins the frames of many keys and warns once per empty one.
         warnings.simplefilter("ignore", FutureWarning)
-        if state.hasTimedOut:
+        memories = dict(json.loads(state.get[0])) if state.exists else {}
+        arrived: dict[str | None, list[dict]] = {}
+        for chunk in () if state.hasTimedOut else chunks:
+            for text in chunk["_event"]:
+                head, tail = text.split("\n", 1)
+                event = json.loads(head)
+                event["kept"] = tail
+                arrived.setdefault(event.get("key"), []).append(event)
+        rows, values, late = [], [], []
+        for name, events in arrived.items():
+            fresh = {"last": None, "carry": [float("nan")] * len(spec), "seen": {n: [] for n in distinct}, "tail": []}
+            memory = memories.get(name, fresh)
+            for part, more in zip((rows, values, late), fold_key(events, memory), strict=True):
+                part.extend(more)
+            if memory["last"] is not None:
+                memories[name] = memory
+        if ttl_ms is not None:
+            now = state.getCurrentWatermarkMs()
+            for name in arrived.keys() & memories.keys():  # a time that has passed already is due at the next one the watermark reaches
+                memories[name]["due"] = max(memories[name]["last"][0] // 1000 + ttl_ms, now + 1)
+            memories = {name: memory for name, memory in memories.items() if name in arrived or memory["due"] >= now}
+        if memories:
+            state.update((json.dumps(list(memories.items())),))
+            if ttl_ms is not None:
+                state.setTimeoutTimestamp(max(min(m["due"] for m in memories.values()), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        parts = list(chunks)
-        rows = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values(["_us", tiebreak], ignore_index=True)
-        memory = json.loads(state.get[0]) if state.exists else {
-            "last": None, "carry": [float("nan")] * len(spec), "seen": {n: [] for n in distinct}, "tail": [],
-        }
-        late = np.zeros(len(rows), dtype=bool)
-        if memory["last"] is not None:
-            us, tie = memory["last"]
-            late = ((rows["_us"] < us) | ((rows["_us"] == us) & (rows[tiebreak] <= tie))).to_numpy()
-        values = np.full((len(rows), width), np.nan)
-        if not late.all():
-            frame = rows[~late] if late.any() else rows
-            values[~late] = values_of(frame, memory)
-            final = frame.iloc[-1]
-            tie = final[tiebreak]
-            memory["last"] = [int(final["_us"]), tie if isinstance(tie, str) else int(tie)]
-            state.update((json.dumps(memory),))
-        if ttl_ms is not None:  # a time that has passed already is due at the next one the watermark reaches
-            state.setTimeoutTimestamp(max(memory["last"][0] // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        out = rows[kept].copy()
-        out["_values"] = list(values)
-        out["late"] = late
-        yield out
-
-    walked = shaped.groupBy(key).applyInPandasWithState(fold, schema, "memory STRING", "append", GroupStateTimeout.EventTimeTimeout)
-    return walked.select(*kept, *[F.col("_values")[i].alias(n) for i, n in enumerate(added)], "late")
+        if rows:
+            yield pd.DataFrame({"_kept": [e["kept"] for e in rows], "_values": values, "late": late})
+
+    walked = shaped.groupBy("_group").applyInPandasWithState(fold, schema, "memory STRING", "append", GroupStateTimeout.EventTimeTimeout)
+    read = walked.select(*unpacked(F.col("_kept")), "_values", "late")
+    return read.select(*kept, *[F.col("_values")[i].alias(n) for i, n in enumerate(added)], "late")
 
 
 def stream_point_in_time_features(df: DataFrame, chain: str, ts: str, tiebreak: str, amount: str | None = "amount_inr", **options) -> DataFrame:
