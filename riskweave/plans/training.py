@@ -265,7 +265,7 @@ def _(t: Tables):
 @query("ST2_stream_case_guard", with_views(
     "SELECT event_id, codes AS indicator_codes, CAST(gs AS INT) AS observable_risk_score, minact AS minimum_action, band AS risk_band FROM gd", "evidence_events", st=_STATE, sc=_SCORED, gd=_GUARD))
 def _(t: Tables):
-    out = run_stream(t, st.stream_case_guard(as_stream(t, t("evidence_events")), "case_id", "event_ts", "event_id", keep=[]))
+    out = run_stream(t, st.stream_case_guard(as_stream(t, t("evidence_events")), "case_id", "event_ts", "event_id", keep=[], buckets=_BUCKETS))
     return out.select("event_id", F.array_join("indicator_codes", "|").alias("indicator_codes"), F.col("observable_risk_score").cast("int").alias("observable_risk_score"), "minimum_action", "risk_band")
 
 
