@@ -23,6 +23,10 @@ from riskweave.session import pin
 from riskweave.sources.writers import current_version, publish_pointer
 
 
+#: Rows of a partition a classifier trains on; it keeps its partitions in memory, far larger than in the files they are read from.
+FIT_ROWS = 1 << 18
+
+
 @dataclass(frozen=True)
 class ScoringModel:
     """A fitted pipeline with the text fills, feature lists and threshold it was trained with."""
@@ -136,6 +140,20 @@ def boosted_stages(
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), classifier])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in partitions of about ``FIT_ROWS`` rows, where those of one partition per core would be larger."""
+    parts = -(-df.count() // FIT_ROWS)
+    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def _fitted(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """The fitted pipeline; its last stage, the classifier, trains on spread rows of the columns it reads."""
+    *before, last = pipeline.getStages()
+    ready = Pipeline(stages=before).fit(df)
+    names = ["features", "_label", "weight"] + [c for c in ["_validation"] if c in df.columns]
+    return PipelineModel([*ready.stages, last.fit(spread(ready.transform(df).select(*names)))])
+
+
 def fit_model(
     name: str, df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str],
     build: Callable[[Sequence[str], Sequence[str]], Pipeline], weights: str = "balanced",
@@ -153,7 +171,7 @@ def fit_model(
         if isinstance(stage, GBTClassifier) and categorical:  # a category needs a bin of its own, and one more for values not seen
             counts = ready.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first()
             stage.setMaxBins(max(stage.getMaxBins(), max(counts) + 1))
-    return ScoringModel(name, pipeline.fit(weighted), tuple(numeric), tuple(categorical), fills)
+    return ScoringModel(name, _fitted(pipeline, weighted), tuple(numeric), tuple(categorical), fills)
 
 
 def fraud_detector(df: DataFrame, label: str = "label", iterations: int = 400) -> ScoringModel:
