@@ -2,8 +2,8 @@
 
 Side A is a byte-level BPE file, side B a SentencePiece model that puts a space before the text; A is given that space too. Both
 sides of a document cover the same bytes, so a link, a pair of tokens whose byte ranges overlap, starts where one of the two
-starts inside the other: ``merge_asof`` finds the covering B token of each A start and the covering A token of each B start, by
-document over a whole batch, and the union of both directions holds every link once. Positions where tokens of both sides end cut
+starts inside the other: ``merge_asof`` finds the covering B token of each A start and the covering A token of each B start, over
+a whole batch of documents that lie one after the other, and the union of both directions holds every link once. Positions where tokens of both sides end cut
 a document into groups.
 
 Counts of the corpus go through chunks, a slice of documents each: a chunk lists its different links once with their number, so a
@@ -26,6 +26,7 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from riskweave.llm import bytebpe
 from riskweave.llm.bytebpe import list_array
@@ -40,11 +41,26 @@ _SPACE = "▁"
 _BUILT: dict[int, PieceModel] = {}
 
 
-class PieceModel:
-    """A SentencePiece model with the bytes its pieces stand for."""
+def apart_at_spaces(model: bytes) -> bool:
+    """Whether a model encodes each word with the spaces before it as if it were alone.
+
+    So do merges that never join a space to what is before it, over texts that are taken as they are but for the first space.
+    """
+    spec = sentencepiece_model_pb2.ModelProto.FromString(model)
+    norm, kinds = spec.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+    as_is = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+    merges = spec.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE and not spec.trainer_spec.treat_whitespace_as_suffix
+    return as_is and merges and not spec.denormalizer_spec.precompiled_charsmap and all(
+        p.type not in (kinds.USER_DEFINED, kinds.UNUSED) and _SPACE not in p.piece.lstrip(_SPACE) for p in spec.pieces)
+
+
+class PieceModel(bytebpe.KnownPieces):
+    """A SentencePiece model with the bytes its pieces stand for; it is asked once for a word that is met again and again."""
 
     def __init__(self, model: bytes) -> None:
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.model, self.table = sentencepiece.SentencePieceProcessor(model_proto=model), bytebpe.PieceTable()
+        space = self.model.piece_to_id(_SPACE)
+        self.space = space if space != self.model.unk_id() and apart_at_spaces(model) else None  # none: whole texts only
         spelled = []
         for i in range(self.model.vocab_size()):
             piece = self.model.id_to_piece(i)
@@ -58,6 +74,22 @@ class PieceModel:
         ends = np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int64)
         return np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1])), ends
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of words with the spaces before them; the model adds the first space, but to an empty text none."""
+        found = self.model.encode([p[1:].decode() for p in pieces], num_threads=1)
+        return [ids if len(p) > 1 else [self.space] for p, ids in zip(pieces, found, strict=True)]
+
+    def encode_batch(self, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``; ``data`` between the offsets are the same texts with a space before each that is not empty."""
+        if self.space is None or not len(data):
+            return self.encode(texts)
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ids, ends = self.piece_ids(data.tobytes(), data, starts, np.diff(np.append(starts, len(data))))
+        return ids, ends[np.searchsorted(starts, offsets)]
+
     def spell(self, ids: np.ndarray) -> np.ndarray:
         starts = self.offsets[ids]
         return self.flat[ranges(starts, self.offsets[ids + 1] - starts)]
@@ -108,20 +140,28 @@ def only(ids: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> tuple[np.ndarra
 
 
 def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """doc, a, b: the ids of every pair of tokens whose ranges overlap."""
+    """doc, a, b: the ids of every pair of tokens whose ranges overlap.
+
+    Both sides of a document begin at the same byte of the batch, so the last start on the other side is one of the same document.
+    """
     a_side, b_side = a[["doc", "start", "id"]].rename(columns={"id": "a"}), b[["doc", "start", "id"]].rename(columns={"id": "b"})
-    covering_b = pd.merge_asof(a_side, b_side, on="start", by="doc")
-    covering_a = pd.merge_asof(b_side, a_side.assign(at=a_side["start"]), on="start", by="doc")
+    covering_b = pd.merge_asof(a_side, b_side[["start", "b"]], on="start")
+    covering_a = pd.merge_asof(b_side, a_side[["start", "a"]].assign(at=a_side["start"]), on="start")
     later = covering_a[covering_a["at"] < covering_a["start"]]  # equal starts are in the other direction already
     return pd.concat([covering_b[["doc", "a", "b"]], later[["doc", "a", "b"]]])
 
 
 def group_sizes(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, A tokens, B tokens) of each group: both sides end together at its end."""
-    ends = np.intersect1d(a["end"].to_numpy(), b["end"].to_numpy(), assume_unique=True)
-    sizes = [np.bincount(np.searchsorted(ends, side["end"].to_numpy()), minlength=len(ends)) for side in (a, b)]
-    docs = a["doc"].to_numpy()[np.searchsorted(a["end"].to_numpy(), ends)]
-    return docs, sizes[0], sizes[1]
+    a_ends, b_ends = a["end"].to_numpy(), b["end"].to_numpy()  # ascending, and the last ones are the same byte
+    marked = np.zeros((int(a_ends[-1]) if len(a_ends) else 0) + 1, bool)
+    marked[b_ends] = True
+    last_a = np.flatnonzero(marked[a_ends])
+    ends = a_ends[last_a]
+    marked[:] = False
+    marked[ends] = True
+    last_b = np.flatnonzero(marked[b_ends])
+    return a["doc"].to_numpy()[last_a], np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
 
 
 SCHEMA = pa.schema([
@@ -159,8 +199,8 @@ def align_chunk(texts: list[str], data: np.ndarray, offsets: np.ndarray, byte_bp
     n = len(texts)
     data, offsets = with_space(data, offsets)
     a_ids, a_ends = byte_bpe.encode_batch(data, offsets, special=False)
-    b_ids, b_ends = pieces.encode(texts)
-    a_ids = a_ids.astype(np.int64)
+    b_ids, b_ends = pieces.encode_batch(texts, data, offsets)
+    a_ids, b_ids = a_ids.astype(np.int64), b_ids.astype(np.int64)
     kept = spells(a_ids, a_ends, byte_bpe, data, offsets) & spells(b_ids, b_ends, pieces, data, offsets)
     (a_ids, a_ends), (b_ids, b_ends) = only(a_ids, a_ends, kept), only(b_ids, b_ends, kept)
     a, b = token_frame(a_ids, a_ends, byte_bpe.offsets), token_frame(b_ids, b_ends, pieces.offsets)

@@ -129,6 +129,44 @@ class PieceTable:
         return same
 
 
+class KnownPieces:
+    """Ids of pieces of texts: ``encode_pieces`` is asked for those that ``table`` does not hold."""
+
+    table: PieceTable
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def piece_ids(self, raw: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, offsets of the pieces in them); ``raw`` and ``data`` are the same bytes."""
+        places, extra = self._places(raw, data, starts, sizes)
+        counts = np.concatenate([self.table.counts, [len(e) for e in extra]]).astype(np.int64)
+        flat = np.concatenate([self.table.ids, *extra]) if extra else self.table.ids
+        first = np.concatenate([self.table.first, len(self.table.ids) + np.cumsum(counts[len(self.table.counts):]) - counts[len(self.table.counts):]])
+        lengths = counts[places]
+        return flat[ranges(first[places], lengths)], np.concatenate([[0], np.cumsum(lengths)])
+
+    def _places(self, raw: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Place of every piece in the table; pieces the table does not keep are placed after it, their ids in the list."""
+        keys, first, again = np.unique(span_hashes(data, starts, starts + sizes), return_index=True, return_inverse=True)
+        places = self.table.find(keys)
+        new = np.flatnonzero((places < 0) & (sizes[first] <= KEPT_BYTES))
+        if len(new) + len(self.table.keys) > PIECES:
+            self.table = PieceTable()
+            places[:] = -1
+            new = np.flatnonzero(sizes[first] <= KEPT_BYTES)[:PIECES]
+        if len(new):
+            pieces = [raw[a:a + n] for a, n in zip(starts[first[new]].tolist(), sizes[first[new]].tolist(), strict=True)]
+            places[new] = np.arange(len(self.table.sizes), len(self.table.sizes) + len(new))
+            self.table.add(keys[new], pieces, self.encode_pieces(pieces))
+        every = places[again]
+        kept = np.flatnonzero(every >= 0)
+        every[kept[~self.table.holds(every[kept], data, starts[kept], sizes[kept])]] = -1
+        direct = np.flatnonzero(every < 0)
+        every[direct] = len(self.table.sizes) + np.arange(len(direct))
+        return every, [np.array(ids, np.int32) for ids in self.encode_pieces([raw[starts[i]:starts[i] + sizes[i]] for i in direct])]
+
+
 class TokenBytes:
     """Bytes of all tokens of a tokenizer file (the text of its JSON) in a row, with an offset table."""
 
@@ -149,7 +187,7 @@ class TokenBytes:
         return self.flat[ranges(starts, self.offsets[ids + 1] - starts)]
 
 
-class ByteBpe(TokenBytes):
+class ByteBpe(KnownPieces, TokenBytes):
     """Tables for encoding with one tokenizer file."""
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -257,6 +295,9 @@ class ByteBpe(TokenBytes):
                 before = tokens[-1] if tokens else -1
         return tokens
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        return [self.encode_piece(p) for p in pieces]
+
     def encode(self, text: str, special: bool = True) -> np.ndarray:
         """Ids of one text, piece by piece; with ``special`` false the strings of special tokens are plain text."""
         known = (self.kinds[np.frombuffer(text.encode("utf-32-le"), np.uint32)] != UNKNOWN).all()
@@ -280,33 +321,8 @@ class ByteBpe(TokenBytes):
         at = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of the characters
         starts = at[piece_starts(points, kinds, np.searchsorted(at, offsets))]
         sizes = np.diff(np.append(starts, len(data)))
-        places, extra = self._places(raw, data, starts, sizes)
-        counts = np.concatenate([self.table.counts, [len(e) for e in extra]]).astype(np.int64)
-        flat = np.concatenate([self.table.ids, *extra]) if extra else self.table.ids
-        first = np.concatenate([self.table.first, len(self.table.ids) + np.cumsum(counts[len(self.table.counts):]) - counts[len(self.table.counts):]])
-        lengths = counts[places]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return flat[ranges(first[places], lengths)], ends[np.searchsorted(starts, offsets)]
-
-    def _places(self, raw: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Place of every piece in the table; pieces the table does not keep are placed after it, their ids in the list."""
-        keys, first, again = np.unique(span_hashes(data, starts, starts + sizes), return_index=True, return_inverse=True)
-        places = self.table.find(keys)
-        new = np.flatnonzero((places < 0) & (sizes[first] <= KEPT_BYTES))
-        if len(new) + len(self.table.keys) > PIECES:
-            self.table = PieceTable()
-            places[:] = -1
-            new = np.flatnonzero(sizes[first] <= KEPT_BYTES)[:PIECES]
-        if len(new):
-            pieces = [raw[a:a + n] for a, n in zip(starts[first[new]].tolist(), sizes[first[new]].tolist(), strict=True)]
-            places[new] = np.arange(len(self.table.sizes), len(self.table.sizes) + len(new))
-            self.table.add(keys[new], pieces, [self.encode_piece(p) for p in pieces])
-        every = places[again]
-        kept = np.flatnonzero(every >= 0)
-        every[kept[~self.table.holds(every[kept], data, starts[kept], sizes[kept])]] = -1
-        direct = np.flatnonzero(every < 0)
-        every[direct] = len(self.table.sizes) + np.arange(len(direct))
-        return every, [np.array(self.encode_piece(raw[starts[i]:starts[i] + sizes[i]]), np.int32) for i in direct]
+        ids, ends = self.piece_ids(raw, data, starts, sizes)
+        return ids, ends[np.searchsorted(starts, offsets)]
 
 
 def share(spark: SparkSession, path: str):

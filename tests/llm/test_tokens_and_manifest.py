@@ -270,3 +270,27 @@ def test_manifest_with_a_large_source_and_many_small_ones(spark, monkeypatch):
 
 def test_manifest_of_nothing(spark, docs):
     assert merkle.verified_manifest(docs.limit(0)).count() == 0
+
+
+def test_words_are_encoded_alone_as_in_their_text():
+    pieces = align._pieces(type("Shared", (), {"value": open(PIECE_TOKENIZER, "rb").read()})())
+    texts = [
+        "the cat and the cat and the cat", "", " ", "   ", "a  b   c ", " lead", "tab\tand\n\nline  \n end", "é e\u0301 Ａ 漢字 \U0001F600 x",
+        "a▁b ▁ c", "<s> </s> <unk> <0x41>", "x" * 200 + " y", "12 345 6,789.0", "the  cat\u00a0and\u3000the cat", "z\0 z",
+    ]
+    data = np.frombuffer("".join(f" {t}" if t else "" for t in texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) + 1 if t else 0 for t in texts])])
+    asked = []
+    plain = pieces.encode_pieces
+    pieces.encode_pieces = lambda new: asked.extend(new) or plain(new)
+    try:
+        for _ in range(2):  # the second time all but the long word come from the table
+            ids, ends = pieces.encode_batch(texts, data, offsets)
+            want, want_ends = pieces.encode(texts)
+            assert ids.tolist() == want.tolist() and ends.tolist() == want_ends.tolist()
+    finally:
+        del pieces.encode_pieces
+    assert asked.count(b" cat") == 1 and asked.count(b" " + b"x" * 200) == 2
+    pieces.space, space = None, pieces.space  # a model that is not known to part at spaces gets whole texts
+    assert pieces.encode_batch(texts, data, offsets)[0].tolist() == want.tolist()
+    pieces.space = space
