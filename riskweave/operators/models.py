@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -141,9 +143,13 @@ def boosted_stages(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in partitions of about ``FIT_ROWS`` rows, where those of one partition per core would be larger."""
+    """``df`` in partitions of at most about ``FIT_ROWS`` rows, as many for each core, where one per core would be larger.
+
+    Every level of every tree waits for its last task, so a part that is left over costs as much as a whole round of the cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
     parts = -(-df.count() // FIT_ROWS)
-    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(-(-parts // cores) * cores) if parts > cores else df
 
 
 def _fitted(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
@@ -265,15 +271,24 @@ def cross_validate(
 ) -> DataFrame:
     """One chain report per grouped fold, with the budget threshold of the fold.
 
-    The loop runs over the few folds; fitting and scoring inside it are Spark jobs on the whole fold.
+    Fitting and scoring of a fold are Spark jobs on the whole fold, most of them far shorter than it takes to start them, so the
+    few folds run side by side. Folds that fill the cores more than once go one after the other: each holds its rows in memory.
     """
     k = fold_count(test_share)
     folds = group_folds(df, group, "attack_family", k, seed).withColumnRenamed(group, "_g")
     tagged = pin(df.join(folds, F.col(group) == F.col("_g")).drop("_g", "stratum"), "folds")
-    reports = []
-    for fold in range(k):
+
+    def scored_fold(fold: int) -> DataFrame:
         train, test = tagged.where(F.col("fold") != fold), tagged.where(F.col("fold") == fold)
-        scored = pin(fit(train).score(test, list(CHAIN_META)), "scored")
+        return pin(fit(train).score(test, list(CHAIN_META)), "scored")
+
+    spark = df.sparkSession
+    small = tagged.count() <= FIT_ROWS * spark.sparkContext.defaultParallelism
+    with ThreadPoolExecutor(k if small else 1) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(scored_fold), fold) for fold in range(k)]
+        folds_scored = [r.result() for r in running]
+    reports = []
+    for fold, scored in enumerate(folds_scored):
         budget = F.greatest(F.lit(1), F.round(F.col("_rows") * alert_rate).cast("long"))
         cut = m.threshold_for_budget(scored, "risk_score", budget)
         alerted = scored.crossJoin(F.broadcast(cut)).withColumn("alert", F.col("risk_score") >= F.col("threshold"))
