@@ -13,7 +13,8 @@ so documents of buckets with several components go on to buckets of a prefix fil
 first, up to the first that takes the weight before it beyond a fifth of the document's. Two documents of similarity 0.8 differ in at
 most a fifth of either's weight, so their rarest common shingle is in both prefixes, and what follows it bounds their overlap. As long
 as such a bucket holds several components, members outside its largest component are tested against those of the others that the bound
-admits: a few central members first, more in each round. Pairs inside a component need no test, so nothing is lost.
+admits: a few central members first, more in each round. Pairs inside a component need no test, so nothing is lost. Bits flipped by
+each shingle bound the difference of two documents from below, so most pairs a little under the threshold need no test of their texts.
 
 Defined results: null is the empty text; documents without a word are one class per equal text; fewer than five words make one
 shingle. One row per document row; the kept document of a class is its smallest doc_id (repeated rows of it are all kept). A document
@@ -45,6 +46,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPARE = 3.0
 #: Bits of a shingle's hash; the other bits of a word hold its document's number in a slice.
 _HASH_BITS = 47
+#: Words of 64 bits that a document's shingles flip.
+FLIP_WORDS = 16
 #: Nodes of texts without an id begin here; ids are expected to be smaller.
 NO_ID = 1 << 62
 
@@ -252,10 +255,10 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
             comps = components(found)
         elif found.limit(1).count():
             comps = _merged(comps, found)
-    finer = _prefix_members(members.select("key", "rep", "weight"), comps, docs)
+    finer, flips = _prefix_members(members.select("key", "rep", "weight"), comps, docs)
     done, open_, most = None, True, FIRST_TESTED  # done: (key, rep) tested against their whole bucket
     while open_:
-        more, done, open_ = _open_pairs(finer, comps, done, most)
+        more, done, open_ = _open_pairs(finer, flips, comps, done, most)
         most *= 8
         if more is None:
             break
@@ -292,21 +295,54 @@ def shingles(docs: DataFrame) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(split, "rep long, weight long, key long, n long")
 
 
-def _prefix_members(members: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Members (key, rep, weight, weight before the key) of the prefix filter's buckets: documents of band buckets that hold several components."""
+def flip_words(doc: np.ndarray, hashes: np.ndarray, count: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs, FLIP_WORDS) words in which each shingle of a document flips a bit, a repeated one another bit each time.
+
+    What two documents have in common flips the same bits of both, so at least as many shingles differ as bits do.
+    """
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    place = mix(np.repeat(hashes, count) + mix(nth.astype(np.uint64) + _ODD)) % np.uint64(64 * FLIP_WORDS)
+    slot, times = np.unique(np.repeat(doc, count) * (64 * FLIP_WORDS) + place.astype(np.int64), return_counts=True)
+    odd = slot[times % 2 == 1]
+    out = np.zeros(n_docs * FLIP_WORDS, np.uint64)
+    np.bitwise_or.at(out, odd // 64, np.uint64(1) << (odd % 64).astype(np.uint64))
+    return out.reshape(n_docs, FLIP_WORDS).view(np.int64)
+
+
+def flipped(docs: DataFrame) -> DataFrame:
+    """rep and flips (its flip words) of documents (rep, text)."""
+
+    def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch, "text", _SLICE):
+                n = end - first
+                bits = flip_words(*_bags(data, offsets), n)
+                places = pa.array(np.arange(n + 1) * FLIP_WORDS, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.ListArray.from_arrays(places, pa.array(bits.ravel()))], ["rep", "flips"])
+
+    return docs.select("rep", "text").mapInArrow(flip, "rep long, flips array<long>")
+
+
+def _prefix_members(members: DataFrame, comps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, rep, weight, weight before the key) of the prefix filter's buckets, and the flip words of their documents.
+
+    Those are the documents of band buckets that hold several components.
+    """
     placed = _placed(members, comps)
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     held = pin(placed.join(several.select("key"), "key").select(F.col("rep").alias("node")).distinct(), "held")
     texts = prune_to_ids(nodes(docs).select("node", "text"), held, "node")
     texts = texts.join(held, "node", "left_semi").dropDuplicates(["node"])
-    bags = pin(shingles(texts.select(F.col("node").alias("rep"), "text")), "shingles")
+    texts = pin(texts.select(F.col("node").alias("rep"), "text"), "held-texts")
+    bags = pin(shingles(texts), "shingles")
     ranked = bags.join(bags.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), "key")
     before = F.sum("n").over(Window.partitionBy("rep").orderBy("docs", "key")) - F.col("n")
     ranked = ranked.withColumn("before", before).where((F.col("before") <= (1 - SIMILARITY) * F.col("weight") + 1e-6) & (F.col("docs") > 1))
-    return pin(ranked.select("key", "rep", "weight", "before"), "prefixes")
+    return pin(ranked.select("key", "rep", "weight", "before"), "prefixes"), pin(flipped(texts), "flips")
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, done: DataFrame | None, at_once: int) -> tuple[DataFrame | None, DataFrame | None, bool]:
+def _open_pairs(members: DataFrame, flips: DataFrame, comps: DataFrame, done: DataFrame | None, at_once: int) -> tuple[DataFrame | None, DataFrame | None, bool]:
     """Pairs still to test: in buckets of several components, members outside the largest against all other components.
 
     Returns (pairs or None, members tested so far, whether some bucket has more such members than fit in this round). Components
@@ -315,12 +351,13 @@ def _open_pairs(members: DataFrame, comps: DataFrame, done: DataFrame | None, at
     placed = _placed(members, comps)
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    held = pin(placed.join(mixed.select("key", F.col("top.comp").alias("main")), "key"), "open")
+    held = placed.join(mixed.select("key", F.col("top.comp").alias("main")), "key")
+    held = pin(held.join(flips, "rep"), "open")
     outside = held.where("comp != main")
     if done is not None:
         outside = outside.join(done, ["key", "rep"], "left_anti")
     few = outside.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("before", "rep"))).where(F.col("_n") <= at_once + 1)
-    few = pin(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x"), F.col("before").alias("before_x"), "_n"), "outside")
+    few = pin(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x"), F.col("before").alias("before_x"), F.col("flips").alias("flips_x"), "_n"), "outside")
     most = few.agg(F.max("_n")).first()[0]
     if most is None:
         return None, done, False
@@ -331,5 +368,8 @@ def _open_pairs(members: DataFrame, comps: DataFrame, done: DataFrame | None, at
     # Without a common shingle before the key, the overlap is at most what is left; a similar pair passes at its rarest one.
     left = F.least(F.col("weight") - F.col("before"), F.col("weight_x") - F.col("before_x"))
     near = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("weight") + F.col("weight_x")) - 1e-6
+    # Similar documents differ in at most this share of their weights, and in no fewer shingles than flipped bits.
+    differ = sum(F.bit_count(F.col("flips")[i].bitwiseXOR(F.col("flips_x")[i])) for i in range(FLIP_WORDS))
+    near = near & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("weight") + F.col("weight_x")) + 1e-6)
     pairs = few.join(held, "key").where((F.col("comp") != F.col("comp_x")) & near)
     return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), done, most > at_once

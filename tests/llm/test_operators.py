@@ -586,3 +586,35 @@ def test_batches_are_bounded_unless_set_lower(spark):
             assert spark.conf.get(key) == want
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_flipped_bits_bound_the_difference():
+    rng = np.random.default_rng(1)
+    bags = [Counter(rng.integers(0, 200, 300).tolist()) for _ in range(20)]
+    doc, h, n = (np.array(x) for x in zip(*((i, k, c) for i, b in enumerate(bags) for k, c in sorted(b.items())), strict=True))
+    bits = bagminhash.flip_words(doc, h.astype(np.uint64), n, len(bags)).view(np.uint64)
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            differ = sum(int(x).bit_count() for x in bits[i] ^ bits[j])
+            assert differ <= sum(((a - b) + (b - a)).values())
+            assert (differ == 0) == (i == j)
+
+
+def test_pairs_under_the_threshold_need_no_texts(spark, monkeypatch):
+    base, texts = prose(600, 120).split(), []
+    for i in range(10):  # two words of its own each: the similarity of all pairs is 100 / 132
+        words = list(base)
+        words[10 * i + 8] = words[10 * i + 11] = f"zz{i}"
+        texts.append(" ".join(words))
+    asked, open_pairs = [], bagminhash._open_pairs
+
+    def recorded(*args):
+        out = open_pairs(*args)
+        asked.extend(out[0].collect() if out[0] is not None else [])
+        return out
+
+    monkeypatch.setattr(bagminhash, "_open_pairs", recorded)
+    near = [*texts, " ".join([*texts[0].split()[:-1], "changed"])]
+    out = bagminhash.near_duplicate_classes(frame(spark, near)).collect()
+    assert Counter(r["class_id"] for r in out) == {0: 2, **dict.fromkeys(range(1, 10), 1)}
+    assert asked == []
