@@ -588,6 +588,46 @@ def test_batches_are_bounded_unless_set_lower(spark):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("all_pairs", [32, 2])
+def test_passages_of_pairs_whose_ends_met_others(spark, monkeypatch, all_pairs):
+    monkeypatch.setattr(chains, "ALL_PAIRS", all_pairs)
+    passage = prose(800, 72).split()
+    first, second = passage[:36], passage[36:]  # a half is no passage
+    texts = [" ".join([prose(810 + i, 40), *part, prose(860 + i, 40)]) for i, part in enumerate([first, second, passage, first, second, passage])]
+    met = {(r["doc_id"], r["other_id"]): (r["start_word"], r["end_word"], r["matched"]) for r in chains.passages(frame(spark, texts)).collect()}
+    assert met == {(5, 2): (40, 112, 72)}
+
+
+def test_all_pairs_of_unlike_fuzzy_passages(spark):
+    base, texts = prose(700, 90).split(), []
+    for i in range(6):  # each has words of its own changed, so that all pairs are links between different texts
+        words = list(base)
+        words[7 + 13 * i] = f"zz{i}"
+        texts.append(" ".join([prose(720 + i, 30), *words, prose(740 + i, 30)]))
+    rows = chains.passages(frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in rows} == {(i, j) for i in range(6) for j in range(i)}
+    assert all(r["matched"] >= 70 for r in rows)
+
+
+def test_windows_of_hot_seeds_lose_no_exact_passage(spark, monkeypatch):
+    monkeypatch.setattr(chains, "ALL_PAIRS", 3)
+    base = prose(760, 120).split()
+    texts = []
+    for i in range(12):  # parts of one text, begun at unlike places
+        texts.append(" ".join([prose(770 + i, 30), *base[6 * i % 41:6 * i % 41 + 70], prose(790 + i, 30)]))
+    rows = [r for r in chains.passages(frame(spark, texts)).collect() if r["matched"] == r["end_word"] - r["start_word"]]
+    listed = [t.split() for t in texts]
+    holders = defaultdict(set)
+    for i, w in enumerate(listed):
+        for p in range(len(w) - chains.MIN_WORDS + 1):
+            holders[" ".join(w[p:p + chains.MIN_WORDS])].add((i, p))
+    for at in holders.values():  # all holders of a window have it in common with the first one
+        (hub, place), *others = sorted(at)
+        for i, p in others:
+            assert any(r["doc_id"] == i and r["other_id"] == hub and r["start_word"] <= p and p + chains.MIN_WORDS <= r["end_word"]
+                       and r["other_start"] - r["start_word"] == place - p for r in rows), (i, hub, p)
+
+
 def test_flipped_bits_bound_the_difference():
     rng = np.random.default_rng(1)
     bags = [Counter(rng.integers(0, 200, 300).tolist()) for _ in range(20)]
