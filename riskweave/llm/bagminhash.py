@@ -48,6 +48,8 @@ _SPARE = 3.0
 _HASH_BITS = 47
 #: Words of 64 bits that a document's shingles flip.
 FLIP_WORDS = 16
+#: Rows of numbers, and of texts, that a stored partition holds at most on average.
+NUMBER_ROWS, TEXT_ROWS = 1 << 16, 1 << 12
 #: Nodes of texts without an id begin here; ids are expected to be smaller.
 NO_ID = 1 << 62
 
@@ -192,6 +194,14 @@ def similarities(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def _few(df: DataFrame, rows: int, each: int = NUMBER_ROWS) -> DataFrame:
+    """``df``, of about so many rows, in no more partitions than hold ``each`` of them, but one for each core at least.
+
+    Every stored step waits for its tasks, most of them far shorter than it takes to start them and write their files.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Stored pairs (a, b) with similarity 0.8 or more. Only texts of documents that are in a pair are moved."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -199,18 +209,19 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = texts.dropDuplicates(["node"])
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     compared = similarities(pairs.join(left, "a").join(right, "b"))
-    return pin(compared.where(F.col("similarity") >= SIMILARITY), "links")
+    return pin(_few(compared.where(F.col("similarity") >= SIMILARITY), pairs.count(), TEXT_ROWS), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node reachable over links (a, b). Labels spread and jump, stored after each round."""
     ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
-    labels = pin(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), "labels")
+    rows = 2 * links.count()
+    labels = pin(_few(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), rows), "labels")
     while True:
         near = ends.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("comp", "near").alias("new"), "comp")
         jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
-        step = pin(spread.join(jump, "new").select("node", F.least("new", "far").alias("new"), "comp"), "labels")
+        step = pin(_few(spread.join(jump, "new").select("node", F.least("new", "far").alias("new"), "comp"), rows), "labels")
         changed = step.where("new < comp").limit(1).count()
         labels = step.select("node", F.col("new").alias("comp"))
         if not changed:
@@ -222,9 +233,11 @@ def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
     of = {c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b")}
     pairs = found.join(of["a"], "a", "left").join(of["b"], "b", "left")
     pairs = pairs.select(F.coalesce("comp_a", "a").alias("x"), F.coalesce("comp_b", "b").alias("y")).where("x != y")
-    top = components(pin(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links"))
+    rows = found.count()
+    top = components(pin(_few(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), rows), "links"))
     both = comps.withColumnRenamed("comp", "low").join(top.withColumnRenamed("node", "low"), "low", "full")
-    return pin(both.select(F.coalesce("node", "low").alias("node"), F.coalesce("comp", "low").alias("comp")), "labels")
+    both = both.select(F.coalesce("node", "low").alias("node"), F.coalesce("comp", "low").alias("comp"))
+    return pin(_few(both, comps.count() + 2 * rows), "labels")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -238,19 +251,22 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, kept."""
     rows = pin(sketches(docs), "sketches")
     bag = ["d1", "d2", "weight"]
-    same = pin(rows.groupBy(*bag).agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "bags")
+    n_rows = rows.count()
+    same = rows.groupBy(*bag).agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    same = pin(_few(same, BANDS * n_rows), "bags")
     banded = same.where(F.size("bands") > 0).select("rep", "weight", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = pin(banded.join(hubs.select("key", "hub"), "key"), "members")
+    members = pin(_few(banded.join(hubs.select("key", "hub"), "key"), BANDS * n_rows), "members")
     comparable = F.least("weight", "weight_a") >= SIMILARITY * F.greatest("weight", "weight_a")
     pairs = members.select("band", F.col("hub.rep").alias("a"), F.col("hub.weight").alias("weight_a"), F.col("rep").alias("b"), "weight")
     pairs = pairs.where((F.col("a") != F.col("b")) & comparable)
     comps, tested = None, None
     for first, end in BAND_ROUNDS:
         fresh = pairs.where(F.col("band").between(first, end - 1)).select("a", "b").distinct()
-        fresh = pin(fresh if comps is None else _apart(fresh, comps).join(tested, ["a", "b"], "left_anti"), "tested")
+        fresh = fresh if comps is None else _apart(fresh, comps).join(tested, ["a", "b"], "left_anti")
+        fresh = pin(_few(fresh, (end - first) * n_rows), "tested")
         found = verify(fresh, docs)
-        tested = fresh if tested is None else pin(tested.union(fresh), "tested")
+        tested = fresh if tested is None else tested.union(fresh)
         if comps is None:
             comps = components(found)
         elif found.limit(1).count():
@@ -264,13 +280,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
             break
         fresh = pin(more.join(tested, ["a", "b"], "left_anti"), "tested")
         found = verify(fresh, docs)
-        tested = pin(tested.union(fresh), "tested") if open_ else tested
+        tested = tested.union(fresh)
         if found.limit(1).count():
             comps = _merged(comps, found)
     classes = same.select(*bag, "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.withColumn("class_id", F.coalesce("comp", "rep"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = pin(classes.join(sizes, "class_id").select(*bag, "class_id", "class_size"), "classes")
+    classes = pin(_few(classes.join(sizes, "class_id").select(*bag, "class_id", "class_size"), n_rows), "classes")
     out = rows.select("doc_id", *bag).join(classes, bag)
     return out.select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
@@ -331,15 +347,16 @@ def _prefix_members(members: DataFrame, comps: DataFrame, docs: DataFrame) -> tu
     """
     placed = _placed(members, comps)
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    held = pin(placed.join(several.select("key"), "key").select(F.col("rep").alias("node")).distinct(), "held")
+    held = placed.join(several.select("key"), "key").select(F.col("rep").alias("node")).distinct()
+    held = pin(_few(held, members.count()), "held")
     texts = prune_to_ids(nodes(docs).select("node", "text"), held, "node")
     texts = texts.join(held, "node", "left_semi").dropDuplicates(["node"])
-    texts = pin(texts.select(F.col("node").alias("rep"), "text"), "held-texts")
+    texts = pin(_few(texts.select(F.col("node").alias("rep"), "text"), held.count(), TEXT_ROWS), "held-texts")
     bags = pin(shingles(texts), "shingles")
     ranked = bags.join(bags.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), "key")
     before = F.sum("n").over(Window.partitionBy("rep").orderBy("docs", "key")) - F.col("n")
     ranked = ranked.withColumn("before", before).where((F.col("before") <= (1 - SIMILARITY) * F.col("weight") + 1e-6) & (F.col("docs") > 1))
-    return pin(ranked.select("key", "rep", "weight", "before"), "prefixes"), pin(flipped(texts), "flips")
+    return pin(_few(ranked.select("key", "rep", "weight", "before"), bags.count()), "prefixes"), pin(flipped(texts), "flips")
 
 
 def _open_pairs(members: DataFrame, flips: DataFrame, comps: DataFrame, done: DataFrame | None, at_once: int) -> tuple[DataFrame | None, DataFrame | None, bool]:
@@ -352,19 +369,19 @@ def _open_pairs(members: DataFrame, flips: DataFrame, comps: DataFrame, done: Da
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     held = placed.join(mixed.select("key", F.col("top.comp").alias("main")), "key")
-    held = pin(held.join(flips, "rep"), "open")
+    held = pin(_few(held.join(flips, "rep"), members.count()), "open")
     outside = held.where("comp != main")
     if done is not None:
         outside = outside.join(done, ["key", "rep"], "left_anti")
     few = outside.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("before", "rep"))).where(F.col("_n") <= at_once + 1)
-    few = pin(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x"), F.col("before").alias("before_x"), F.col("flips").alias("flips_x"), "_n"), "outside")
+    few = pin(_few(few.select("key", F.col("rep").alias("x"), F.col("comp").alias("comp_x"), F.col("weight").alias("weight_x"), F.col("before").alias("before_x"), F.col("flips").alias("flips_x"), "_n"), held.count()), "outside")
     most = few.agg(F.max("_n")).first()[0]
     if most is None:
         return None, done, False
     few = few.where(F.col("_n") <= at_once).drop("_n")
     if most > at_once:
         now = few.select("key", F.col("x").alias("rep"))
-        done = pin(now if done is None else done.union(now), "done")
+        done = now if done is None else done.union(now)
     # Without a common shingle before the key, the overlap is at most what is left; a similar pair passes at its rarest one.
     left = F.least(F.col("weight") - F.col("before"), F.col("weight_x") - F.col("before_x"))
     near = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("weight") + F.col("weight_x")) - 1e-6
