@@ -72,21 +72,22 @@ class ScoringModel:
         )
 
 
-def text_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Most frequent value of each text column, the smallest of ties: one aggregation, one result row per column."""
+def text_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, int]]:
+    """Most frequent value of each text column, the smallest of ties, and the number of its values: one aggregation, one result row per column."""
     if not columns:
         return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
     counts = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
-    return {c: "missing" for c in columns} | {r["c"]: r["v"] for r in rows}
+    rows = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"), F.count(F.lit(1)).alias("values")).collect()
+    return {c: ("missing", 1) for c in columns} | {r["c"]: (r["v"], r["values"]) for r in rows}
 
 
-def empty_numbers(df: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
-    """Zero fills for numeric features without any value, which have no median."""
+def number_ranges(df: DataFrame, numeric: Sequence[str]) -> tuple[int, dict[str, tuple[int, float | None, float | None]]]:
+    """Rows, and the number of values, the least and the largest of each numeric feature: one aggregation."""
     typed = coerce_features(df, numeric, [])
-    counts = typed.agg(*[F.count(c).alias(c) for c in numeric]).first()
-    return {c: 0.0 for c in numeric if counts[c] == 0}
+    three = [e for c in numeric for e in (F.count(c).alias(f"n {c}"), F.min(c).alias(f"a {c}"), F.max(c).alias(f"b {c}"))]
+    found = typed.agg(F.count(F.lit(1)).alias("rows"), *three).first()
+    return found["rows"], {c: (found[f"n {c}"], found[f"a {c}"], found[f"b {c}"]) for c in numeric}
 
 
 def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], fills: Mapping[str, object], keep: Sequence[str]) -> DataFrame:
@@ -153,11 +154,31 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _fitted(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
-    """The fitted pipeline; its last stage, the classifier, trains on spread rows of the columns it reads."""
+    """The fitted pipeline; its last stage, the classifier, trains on spread rows of the columns it reads.
+
+    A classifier goes over its rows many times before it keeps them, so they are stored once all other stages are through.
+    """
     *before, last = pipeline.getStages()
     ready = Pipeline(stages=before).fit(df)
     names = ["features", "_label", "weight"] + [c for c in ["_validation"] if c in df.columns]
-    return PipelineModel([*ready.stages, last.fit(spread(ready.transform(df).select(*names)))])
+    return PipelineModel([*ready.stages, last.fit(spread(pin(ready.transform(df).select(*names), "fit-rows")))])
+
+
+def _varying_only(pipeline: Pipeline, single: set[str]) -> None:
+    """Leave features with a single value out of the vector that trees are grown on: no tree can split on one.
+
+    Medians of numbers that have none but the filled value, or one value, are not needed then either. One feature always stays.
+    """
+    for stage in pipeline.getStages():
+        if isinstance(stage, VectorAssembler):
+            names = stage.getInputCols()
+            kept = [c for c in names if c not in single] or names[:1]
+            stage.setInputCols(kept)
+    for stage in pipeline.getStages():
+        if isinstance(stage, Imputer):
+            pairs = [(a, b) for a, b in zip(stage.getInputCols(), stage.getOutputCols(), strict=True) if b in kept]
+            if pairs:
+                stage.setInputCols([a for a, _ in pairs]).setOutputCols([b for _, b in pairs])
 
 
 def fit_model(
@@ -166,7 +187,10 @@ def fit_model(
     row_id: str | None = None, validation_share: float = 0.15,
 ) -> ScoringModel:
     """Fit a pipeline on class-weighted rows. ``row_id`` drives the hash split for early stopping."""
-    fills = text_modes(df, categorical) | empty_numbers(df, numeric)
+    texts = text_values(df, categorical)
+    rows, ranges = number_ranges(df, numeric)
+    # Numeric features without any value have no median.
+    fills = {c: v for c, (v, _) in texts.items()} | {c: 0.0 for c, (n, _, _) in ranges.items() if n == 0}
     keep = [label] + ([row_id] if row_id else [])
     ready = prepare(df, numeric, categorical, fills, keep).withColumn("_label", F.col(label).cast("double"))
     weighted = class_weights(ready, "_label", weights)
@@ -174,9 +198,12 @@ def fit_model(
         weighted = weighted.withColumn("_validation", F.pmod(F.xxhash64(row_id), F.lit(1000)) < int(1000 * validation_share))
     pipeline = build(numeric, categorical)
     for stage in pipeline.getStages():
-        if isinstance(stage, GBTClassifier) and categorical:  # a category needs a bin of its own, and one more for values not seen
-            counts = ready.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first()
-            stage.setMaxBins(max(stage.getMaxBins(), max(counts) + 1))
+        if isinstance(stage, GBTClassifier):
+            if categorical:  # a category needs a bin of its own, and one more for values not seen
+                stage.setMaxBins(max(stage.getMaxBins(), max(n for _, n in texts.values()) + 1))
+            single = {f"{c}__code" for c, (_, n) in texts.items() if n == 1}
+            single |= {f"{c}__filled" for c, (n, low, high) in ranges.items() if n == 0 or low == high}
+            _varying_only(pipeline, single | {f"{c}__missing" for c, (n, _, _) in ranges.items() if n in (0, rows)})
     return ScoringModel(name, _fitted(pipeline, weighted), tuple(numeric), tuple(categorical), fills)
 
 

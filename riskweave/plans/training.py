@@ -224,7 +224,7 @@ def _(t: Tables):
 @query("T8_retrain_generation")
 def _(t: Tables):
     root = scratch_path(t.spark, "champion")
-    rows = chain_rows(t)
+    rows = pin(chain_rows(t), "chain-rows")
     md.retrain_generation(t.spark, [rows], root, 1, chain_features, md.fraud_detector)
     version = writers.current_version(t.spark, root)
     champion = md.ScoringModel.load(t.spark, f"{root}/{version}", d.CHAIN_NUMERIC_FEATURES, d.CHAIN_CATEGORICAL_FEATURES)
